@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontam, packing, pii, quality, simhash
+from . import common, decontam, flac, html, packing, pii, quality, simhash
 
 CAPACITY = 2048
 
@@ -21,6 +21,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(common.table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(common.table(spark, sf_dir, "pages"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -37,11 +41,17 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(common.table(spark, sf_dir, "documents"))
 
 
+def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digests(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_html_extraction": op2_html_extraction,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_pii": op6_pii,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_flac_media": op9_flac_media,
 }
 SQL: dict[str, str] = {}
