@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontam, flac, html, packing, pii, quality, simhash, suffix
+from . import chat, common, decontam, flac, html, lm, packing, pii, quality, simhash, suffix
+from .sql import SQL
 
 CAPACITY = 2048
 
@@ -25,6 +26,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(common.table(spark, sf_dir, "pages"))
 
 
+def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(common.table(spark, sf_dir, "conversations"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(common.table(spark, sf_dir, "documents"))
 
@@ -49,14 +54,23 @@ def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digests(common.table(spark, sf_dir, "documents"))
 
 
+def op10_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what the labels call good and not toxic; all other documents are the background."""
+    good = common.table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (F.col("toxic") == 0))
+    return lm.cross_entropy_difference(common.table(spark, sf_dir, "documents"), good.select("doc_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
+    "op3_chat_preferences": op3_chat_preferences,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_pii": op6_pii,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_flac_media": op9_flac_media,
+    "op10_lm_cross_entropy": op10_lm_cross_entropy,
 }
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]

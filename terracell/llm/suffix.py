@@ -83,7 +83,7 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
 
 def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """Mixed 64-bit hashes of all k-grams, by doubling."""
-    size, power = 1, _MULT
+    size = 1
     have = data.astype(np.uint64) + np.uint64(1)
     out, out_size = None, 0
     while True:
@@ -97,8 +97,8 @@ def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
         if 2 * size > k:
             break
         n = len(data) - 2 * size + 1
-        have = have[:n] * power + have[size : size + n]
-        size, power = 2 * size, power * power
+        have = have[:n] * _power(size) + have[size : size + n]
+        size *= 2
     out = out ^ (out >> np.uint64(32))
     out = out * np.uint64(0xD6E8FEB86659FD93)
     return out ^ (out >> np.uint64(32))
