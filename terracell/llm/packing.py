@@ -26,11 +26,19 @@ from pyspark.sql import Window as W
 
 from . import common
 
+CAPACITY = 2048
 END_ID = 0
 SALT_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 class Encoder:
     """Token ids of a byte-level BPE file of the tokenizers library, as little-endian 32-bit bytes.
 
@@ -226,7 +234,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
+def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """All documents packed into sequences of at most ``capacity`` tokens, one row per piece.
 
     ``docs`` needs doc_id and text.  The token pieces are checkpointed, as they are counted, ranked

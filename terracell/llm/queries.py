@@ -9,17 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import chat, common, decontam, flac, html, lm, packing, pii, quality, simhash, suffix
 from .sql import SQL
 
-CAPACITY = 2048
-
-
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(common.table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY)
+    return packing.best_fit_pack(common.table(spark, sf_dir, "documents"), packing.public_tokenizer(), packing.CAPACITY)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +51,12 @@ def op10_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.cross_entropy_difference(common.table(spark, sf_dir, "documents"), good.select("doc_id"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(common.ship(spark), sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -71,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_flac_media": op9_flac_media,
     "op10_lm_cross_entropy": op10_lm_cross_entropy,
+    "pipeline": pipeline,
 }
 
 __all__ = ["QUERIES", "SQL"]
