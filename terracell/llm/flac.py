@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 BLOCK = 1024  # samples in a frame
-GROUP = 4096  # frames worked on at once
+GROUP = 768  # frames worked on at once: their arrays take about 150 MB
 RATE = 8000
 PRECISION = 10  # bits of a quantised coefficient
 ALIGN = 64
@@ -471,7 +471,7 @@ def payload_of(text: str | None) -> bytes:
     return data + bytes(-len(data) % ALIGN if data else ALIGN)
 
 
-def _parts(values: list[bytes], most: int = 4 << 20) -> Iterator[list[int]]:
+def _parts(values: list[bytes], most: int = 1 << 20) -> Iterator[list[int]]:
     part, size = [], 0
     for i, v in enumerate(values):
         part.append(i)
