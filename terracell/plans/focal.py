@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from ..session import ship
+
 KEY = ["row", "col"]
 TILE = 128
 EIGHT = [(-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0)]  # (row, col) steps, clockwise from the north-east
@@ -81,6 +83,7 @@ def tiled(layers: list[DataFrame], halo: int, kernel: Callable[..., np.ndarray |
             columns[name] = pa.array(v, mask=np.isnan(v))
         return pa.table(columns)
 
+    ship(sent.sparkSession)
     schema = "row int, col int, " + ", ".join(f"{x} double" for x in names)
     return sent.groupBy("tr", "tc").applyInArrow(run, schema)
 
