@@ -11,14 +11,14 @@ from .base import put, with_sql
 _STEPS = ", ".join(f"({k}, {r}, {c})" for k, (r, c) in enumerate(hy.EIGHT))
 _O8 = f"o8 as (select * from (values {_STEPS}) as t(k, dr, dc))"
 _FALL = "fall as (select a.row, a.col, o8.k, b.row as r2, b.col as c2, case when dr <> 0 and dc <> 0 then sqrt(2.0::double) else 1.0::double end as len, (a.value - b.value) / case when dr <> 0 and dc <> 0 then sqrt(2.0::double) else 1.0::double end as s from n a cross join o8 join n b on b.row = a.row + dr and b.col = a.col + dc where a.value > b.value)"
-_BEST = "best as (select * from (select *, row_number() over (partition by row, col order by s desc, k) as rn from fall) where rn = 1)"
+_BEST = "best as materialized (select * from (select *, row_number() over (partition by row, col order by s desc, k) as rn from fall) where rn = 1)"
 _D8 = (_O8, _FALL, _BEST)
 #: Every cell with each cell on its way down, itself included.
 _WAY = "way(row, col, tr, tc, len) as (select row, col, row, col, 0.0::double from n where value is not null union all select w.row, w.col, b.r2, b.c2, w.len + b.len from way w join best b on b.row = w.tr and b.col = w.tc)"
-_STREAM = "stream as (select distinct r2 as row, c2 as col from best)"
-_SBEST = "sbest as (select best.* from best join stream using (row, col))"
+_STREAM = "stream as materialized (select distinct r2 as row, c2 as col from best)"
+_SBEST = "sbest as materialized (select best.* from best join stream using (row, col))"
 _SWAY = "sway(row, col, tr, tc, len) as (select row, col, row, col, 0.0::double from stream union all select w.row, w.col, b.r2, b.c2, w.len + b.len from sway w join sbest b on b.row = w.tr and b.col = w.tc)"
-_IN = "inflow as (select s.row, s.col, count(b.row) as c from stream s left join sbest b on b.r2 = s.row and b.c2 = s.col group by 1, 2)"
+_IN = "inflow as materialized (select s.row, s.col, count(b.row) as c from stream s left join sbest b on b.r2 = s.row and b.c2 = s.col group by 1, 2)"
 
 
 def _sql(body: str, *more: str) -> str:
@@ -62,7 +62,7 @@ put("farthest_channel_head", lambda s, d: hy.farthest_channel_head(_pointer(s, d
 put("length_of_upstream_channels", lambda s, d: hy.length_of_upstream_channels(_pointer(s, d), _streams(s, d)), _sql("select w.tr as row, w.tc as col, round(sum(coalesce(b.len, 0)), 6) + 0.0 as value from sway w left join (select r2, c2, sum(len) as len from sbest group by 1, 2) b on b.r2 = w.row and b.c2 = w.col group by 1, 2", *_NET))
 #: Ways within links: they end above confluences.
 _LWAY = "lway(row, col, tr, tc) as (select row, col, row, col from stream union all select w.row, w.col, b.r2, b.c2 from lway w join sbest b on b.row = w.tr and b.col = w.tc join inflow i on i.row = b.r2 and i.col = b.c2 and i.c < 2)"
-_LINK = "link as (select w.row, w.col, w.tr, w.tc from lway w where not exists (select 1 from sbest b join inflow i on i.row = b.r2 and i.col = b.c2 and i.c < 2 where b.row = w.tr and b.col = w.tc))"
+_LINK = "link as materialized (select w.row, w.col, w.tr, w.tc from lway w where not exists (select 1 from sbest b join inflow i on i.row = b.r2 and i.col = b.c2 and i.c < 2 where b.row = w.tr and b.col = w.tc))"
 _LEN = "lens as (select l.tr, l.tc, sum(coalesce(b.len, 0)) as len, max((i.c = 0)::int) as outer_, max(n.value) - min(n.value) as fall from link l left join sbest b on b.row = l.row and b.col = l.col join inflow i on i.row = l.row and i.col = l.col join n on n.row = l.row and n.col = l.col group by 1, 2)"
 _LINKS = (*_NET, _LWAY, _LINK, _LEN)
 put("stream_link_identifier", lambda s, d: hy.stream_link_identifier(_pointer(s, d), _streams(s, d)), _sql("select row, col, (tr * 1000000 + tc)::double as value from link", *_LINKS))
