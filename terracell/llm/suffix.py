@@ -185,6 +185,11 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
 
 
+def _stretches(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """(start, end) of each run; none where there are no values."""
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True)) if len(starts) else []
+
+
 def _send(length: int, buckets: int):
     def run(key, table):
         _, _, _, value = Batch(table, length).anchors()
@@ -193,7 +198,7 @@ def _send(length: int, buckets: int):
         order = np.argsort(bucket, kind="stable")
         bucket, value = bucket[order], value[order]
         starts = _runs(bucket)
-        parts = [_pack(value[a:b]) for a, b in zip(starts, [*starts[1:], len(value)], strict=True)]
+        parts = [_pack(value[a:b]) for a, b in _stretches(starts, len(value))]
         return pa.table({"bucket": pa.array(bucket[starts], pa.int32()), "sender": pa.array([key[0].as_py()] * len(starts), pa.int32()), "blob": pa.array(parts, pa.binary())})
 
     return run
@@ -212,7 +217,7 @@ def _answer(key, table):
     order = np.lexsort([value, sender])
     value, sender = value[order], sender[order]
     starts = _runs(sender)
-    parts = [_pack(value[a:b]) for a, b in zip(starts, [*starts[1:], len(value)], strict=True)]
+    parts = [_pack(value[a:b]) for a, b in _stretches(starts, len(value))]
     return pa.table({"batch": pa.array(sender[starts], pa.int32()), "blob": pa.array(parts, pa.binary())})
 
 
@@ -252,7 +257,7 @@ def _cut_snippets(length: int, buckets: int):
             bucket = hashes % buckets
             order = np.lexsort([hashes, bucket])
             starts = _runs(bucket[order])
-            for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+            for a, b in _stretches(starts, len(order)):
                 own = [places[i] for i in order[a:b].tolist()]
                 text = np.frombuffer(b"".join(p[0] for p in own), np.uint8)
                 spots = [s for p in own for s in p[3]]
@@ -317,7 +322,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         if len(before):
             before = before[np.argsort(t[before], kind="stable")]
             starts = _runs(t[before])
-            for a, b in zip(starts, [*starts[1:], len(before)], strict=True):
+            for a, b in _stretches(starts, len(before)):
                 induced[t[before[a]]].append(before[a:b])
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
@@ -377,7 +382,7 @@ def _sort_bucket(length: int):
             by = np.argsort(who, kind="stable")
             who, r, a, b = who[by], r[by], a[by], b[by]
             cuts = _runs(who)
-            for x, y in zip(cuts, [*cuts[1:], len(who)], strict=True):
+            for x, y in _stretches(cuts, len(who)):
                 replies.append((int(who[x]), _pack(*_merge(r[x:y], a[x:y], b[x:y]))))
         return pa.table({"batch": pa.array([r[0] for r in replies], pa.int32()), "blob": pa.array([r[1] for r in replies], pa.binary())})
 
