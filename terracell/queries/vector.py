@@ -77,7 +77,7 @@ put("centroid_vector", lambda s, d: ve.centroid_vector(polygons(s, d)), sql("sel
 put("medoid", lambda s, d: ve.medoid(polygons(s, d)))
 put("smooth_vectors", lambda s, d: ve.smooth_vectors(ve.polygons_to_lines(polygons(s, d)), 3), sql("select fid, part, k, round(case when k in (0, 4) then x else avg(x) over w end, 6) + 0.0 as x, round(case when k in (0, 4) then y else avg(y) over w end, 6) + 0.0 as y from v window w as (partition by fid, part order by k rows between 1 preceding and 1 following)"))
 put("eliminate_coincident_points", lambda s, d: ve.eliminate_coincident_points(points(s, d).where("fid <= 3000"), 0.8).select("fid"), psql("select fid from p where fid <= 3000 and not exists (select 1 from p q where q.fid < p.fid and q.fid <= 3000 and sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) <= 0.8)"))
-_PIP = "pip as (select p.row, p.col, m.fid from (select row, col, col + 0.5 as x, row + 0.5 as y from n) p join b m on p.x between m.x0 and m.x0 + m.w + m.s and p.y between m.y0 and m.y0 + m.h where p.x - m.x0 < m.w + m.s * (1 - (p.y - m.y0) / m.h) and not (m.fid % 3 = 0 and p.x - m.x0 > m.w / 4 and p.x - m.x0 < m.w / 2 and p.y - m.y0 > m.h / 4 and p.y - m.y0 < m.h / 2))"
+_PIP = "pip as (select p.row, p.col, m.fid from (select row, col, col + 0.5 as x, row + 0.5 as y from n) p join b m on p.x between m.x0 and m.x0 + m.w + m.s and p.y between m.y0 and m.y0 + m.h where p.y < m.y0 + m.h and p.x - m.x0 < m.w + m.s * (1 - (p.y - m.y0) / m.h) and not (m.fid % 3 = 0 and p.x - m.x0 >= m.w / 4 and p.x - m.x0 < m.w / 2 and p.y - m.y0 >= m.h / 4 and p.y - m.y0 < m.h / 2))"
 
 
 def _south(cells):
