@@ -39,7 +39,7 @@ _NEAR = "near as (select a.pid, a.z, b.pid as o, b.z as oz, sqrt((a.x - b.x) **
 put("filter_lidar_classes", lambda s, d: li.filter_lidar_classes(cloud(s, d), "3-5,7").select("pid", "class"), lsql("select pid, class from l where class not in (3, 4, 5, 7)"))
 put("filter_lidar_scan_angles", lambda s, d: li.filter_lidar_scan_angles(cloud(s, d), 10).select("pid", "scan_angle"), lsql("select pid, scan_angle from l where abs(scan_angle) <= 10"))
 put("find_flightline_edge_points", lambda s, d: li.find_flightline_edge_points(cloud(s, d).withColumn("edge", F.col("scan_angle") == 20)).select("pid"), lsql("select pid from l where scan_angle = 20"))
-put("lidar_elevation_slice", lambda s, d: li.lidar_elevation_slice(cloud(s, d), 20.0, 40.0).select("pid", "z"), lsql("select pid, z from l where z between 20 and 40"))
+put("lidar_elevation_slice", lambda s, d: li.lidar_elevation_slice(cloud(s, d), 20.0, 40.0).select("pid", "z"), lsql("select pid, round(z, 6) + 0.0 as z from l where z between 20 and 40"))
 put("lidar_elevation_slice_classes", lambda s, d: li.lidar_elevation_slice(cloud(s, d), 20.0, 40.0, True).select("pid", "class"), lsql("select pid, case when z between 20 and 40 then 2 else 1 end::int as class from l"))
 put("lidar_remove_duplicates", lambda s, d: li.lidar_remove_duplicates(cloud(s, d)).select("pid"), lsql("select pid from (select pid, count(*) over (partition by x, y) as n from l) where n = 1"))
 put("lidar_join", lambda s, d: li.lidar_join([cloud(s, d).where("ret = 1"), cloud(s, d).where("ret = 2")]).select("pid", "ret"), lsql("select pid, ret from l where ret in (1, 2)"))
@@ -58,8 +58,8 @@ for _method, _order in {"first": "pid", "last": "pid desc", "lowest": "z, pid",
     put(f"lidar_thin_{_method}", (lambda m: lambda s, d: li.lidar_thin(cloud(s, d), 10.0, m).select("pid"))(_method), lsql(f"select pid from (select pid, row_number() over (partition by row, col order by {_order}) as k from c) where k = 1", _C))
 put("lidar_thin_high_density", lambda s, d: li.lidar_thin_high_density(cloud(s, d), 10.0, 0.5).select("pid"), lsql("select pid from (select *, row_number() over (partition by row, col, bin order by pid) - 1 as k, count(*) over (partition by row, col, bin) as m from (select *, floor((z - min(z) over (partition by row, col)) / 10) as bin, count(*) over (partition by row, col) as n from c)) where not (n > 50 and m > 50 and k % (floor(m / 50.0) + 1) < floor(m / 50.0))", _C))
 put("lidar_tile", lambda s, d: li.lidar_tile(cloud(s, d), 7.0, 9.0, 1.0, 2.0, 40).select("pid", "tile_x", "tile_y"), lsql("select pid, tile_x, tile_y from (select *, count(*) over (partition by tile_x, tile_y) as n from (select pid, floor((x - 1) / 7)::bigint as tile_x, floor((y - 2) / 9)::bigint as tile_y from l)) where n >= 40"))
-put("lidar_block_maximum", lambda s, d: li.lidar_block_maximum(cloud(s, d), 10.0), lsql("select row, col, max(z) as value from c group by 1, 2", _C))
-put("lidar_block_minimum", lambda s, d: li.lidar_block_minimum(cloud(s, d), 10.0), lsql("select row, col, min(z) as value from c group by 1, 2", _C))
+put("lidar_block_maximum", lambda s, d: li.lidar_block_maximum(cloud(s, d), 10.0), lsql("select row, col, round(max(z), 6) + 0.0 as value from c group by 1, 2", _C))
+put("lidar_block_minimum", lambda s, d: li.lidar_block_minimum(cloud(s, d), 10.0), lsql("select row, col, round(min(z), 6) + 0.0 as value from c group by 1, 2", _C))
 put("flightline_overlap", lambda s, d: li.flightline_overlap(cloud(s, d), 10.0), lsql("select row, col, count(distinct source_id)::double as value from c group by 1, 2", _C))
 put("lidar_point_stats", lambda s, d: li.lidar_point_stats(cloud(s, d), 10.0), lsql("select row, col, num_points, num_pulses, round(num_points / nullif(num_pulses, 0), 6) as avg_points_per_pulse, z_range, intensity_range, predom_class from (select row, col, count(*) as num_points, count(*) filter (ret = 1) as num_pulses, round(max(z) - min(z), 6) as z_range, (max(intensity) - min(intensity))::double as intensity_range from c group by 1, 2) join (select row, col, class as predom_class from (select row, col, class, row_number() over (partition by row, col order by count(*) desc, class) as k from c group by 1, 2, 3) where k = 1) using (row, col)", _C))
 _G = "g as (select row, col, (col + 0.5)::double as x, (64 - (row + 0.5))::double as y from n where row < 64), u as (select x, y, z, pid from l where ret = 1 and z <= 60), gn as (select g.row, g.col, u.x as ux, u.y as uy, u.z, sqrt((u.x - g.x) ** 2 + (u.y - g.y) ** 2) as dist from g join u on u.x between g.x - 1.2 and g.x + 1.2 and u.y between g.y - 1.2 and g.y + 1.2 where sqrt((u.x - g.x) ** 2 + (u.y - g.y) ** 2) <= 1.2)"
@@ -71,8 +71,8 @@ def _grid(s, d):
 
 put("lidar_point_density", lambda s, d: li.lidar_point_density(cloud(s, d), _grid(s, d), 1.2, north=64.0, returns="first", maxz=60.0), lsql("select g.row, g.col, round(coalesce(n, 0) / (pi() * 1.44), 6) + 0.0 as value from g left join (select row, col, count(*) as n from gn group by 1, 2) x on x.row = g.row and x.col = g.col", _G))
 put("lidar_idw_interpolation", lambda s, d: li.lidar_idw_interpolation(cloud(s, d), _grid(s, d), radius=1.2, north=64.0, returns="first", maxz=60.0), lsql("select g.row, g.col, round(v, 6) + 0.0 as value from g left join (select row, col, coalesce(avg(z) filter (dist = 0), sum(z / dist) filter (dist > 0) / sum(1 / dist) filter (dist > 0)) as v from gn group by 1, 2) x on x.row = g.row and x.col = g.col", _G))
-put("lidar_nearest_neighbour_gridding", lambda s, d: li.lidar_nearest_neighbour_gridding(cloud(s, d), _grid(s, d), radius=1.2, north=64.0, returns="first", maxz=60.0), lsql("select g.row, g.col, z as value from g left join (select *, row_number() over (partition by row, col order by dist, ux, uy, z) as k from gn) x on x.row = g.row and x.col = g.col and k = 1", _G))
-put("lidar_digital_surface_model", lambda s, d: li.dsm(li.selected(cloud(s, d), "first", maxz=60.0), _grid(s, d), 1.2, north=64.0), lsql("select g.row, g.col, v as value from g left join (select row, col, max(z) as v from gn group by 1, 2) x on x.row = g.row and x.col = g.col", _G))
+put("lidar_nearest_neighbour_gridding", lambda s, d: li.lidar_nearest_neighbour_gridding(cloud(s, d), _grid(s, d), radius=1.2, north=64.0, returns="first", maxz=60.0), lsql("select g.row, g.col, round(z, 6) + 0.0 as value from g left join (select *, row_number() over (partition by row, col order by dist, ux, uy, z) as k from gn) x on x.row = g.row and x.col = g.col and k = 1", _G))
+put("lidar_digital_surface_model", lambda s, d: li.dsm(li.selected(cloud(s, d), "first", maxz=60.0), _grid(s, d), 1.2, north=64.0), lsql("select g.row, g.col, round(v, 6) + 0.0 as value from g left join (select row, col, max(z) as v from gn group by 1, 2) x on x.row = g.row and x.col = g.col", _G))
 put("lidar_hex_binning", lambda s, d: li.lidar_hex_binning(cloud(s, d), 7.3))
 put("lidar_remove_outliers", lambda s, d: li.lidar_remove_outliers(small(s, d).withColumn("class", F.lit(1)), 1.0, 25.0).select("pid", "class"), lsql("select s.pid, case when s.z - m >= 25 then 18 when s.z - m <= -25 then 7 else 1 end::int as class from s left join (select pid, avg(oz) as m from near where o <> pid group by 1) x on x.pid = s.pid", _NEAR))
 put("lidar_tophat_transform", lambda s, d: li.lidar_tophat_transform(small(s, d), 1.0).select("pid", "z"), lsql("select n.pid, round(any_value(n.z) - max(x.low), 6) + 0.0 as z from near n join (select pid, min(oz) as low from near group by 1) x on x.pid = n.o group by 1", _NEAR))
@@ -81,11 +81,11 @@ put("normalize_lidar", lambda s, d: li.normalize_lidar(cloud(s, d), fx.n(s, d),
 put("lidar_ground_point_filter", lambda s, d: li.lidar_ground_point_filter(small(s, d), 1.0, 2).select("pid", "class"), lsql("select s.pid, case when coalesce(off and n >= 2, false) then 1 else 2 end::int as class from s left join (select pid, bool_or(degrees(atan2(z - oz, dist)) > 45 and z - oz > 1) as off, count(*) as n from near where o <> pid group by 1) x on x.pid = s.pid", _NEAR))
 put("normal_vectors", lambda s, d: li.normal_vectors(small(s, d), 1.0).select("pid", "red", "green", "blue"))
 put("lidar_hillshade", lambda s, d: li.lidar_hillshade(small(s, d), radius=1.0).select("pid", "shade"))
-put("lidar_info", lambda s, d: li.lidar_info(cloud(s, d)), lsql("select file, count(*) as n, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y, min(z) as min_z, max(z) as max_z, round(count(*) / ((max(x) - min(x)) * (max(y) - min(y))), 6) as density from l group by 1"))
+put("lidar_info", lambda s, d: li.lidar_info(cloud(s, d)), lsql("select file, count(*) as n, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y, round(min(z), 6) as min_z, round(max(z), 6) as max_z, round(count(*) / ((max(x) - min(x)) * (max(y) - min(y))), 6) as density from l group by 1"))
 put("lidar_info_classes", lambda s, d: li.lidar_info_classes(cloud(s, d)), lsql("select file, class, ret, count(*) as n from l group by 1, 2, 3"))
 put("lidar_histogram", lambda s, d: li.lidar_histogram(cloud(s, d), "elevation", 2.0, 20), lsql("select least(floor((z - lo) / ((hi - lo) / 20)), 19)::int as bin, count(*) as n from l cross join (select quantile_cont(z, 0.02) as lo, quantile_cont(z, 0.98) as hi from l) where z between lo and hi group by 1"))
 put("lidar_kappa_index", lambda s, d: li.lidar_kappa_index(cloud(s, d), li.lidar_elevation_slice(cloud(s, d), 20.0, 40.0, True)), lsql("select class as class1, case when z between 20 and 40 then 2 else 1 end::int as class2, count(*) as n from l group by 1, 2"))
 put("las_to_multipoint_shapefile", lambda s, d: li.las_to_multipoint_shapefile(cloud(s, d)).select("file", "block", F.size("points").alias("n")), lsql("select file, (pid // 100000)::bigint as block, count(*)::int as n from l group by 1, 2"))
-put("las_to_shapefile", lambda s, d: li.las_to_shapefile(cloud(s, d)).select("fid", F.col("points")[0]["x"].alias("x"), "z"), lsql("select pid as fid, x, z from l"))
+put("las_to_shapefile", lambda s, d: li.las_to_shapefile(cloud(s, d)).select("fid", F.col("points")[0]["x"].alias("x"), "z"), lsql("select pid as fid, x, round(z, 6) + 0.0 as z from l"))
 put("lidar_tile_footprint", lambda s, d: qv.ve.lidar_tile_footprint(cloud(s, d)).select("file", qv.ve.area().alias("area")), lsql("select file, (max(x) - min(x)) * (max(y) - min(y)) + 0.0 as area from l group by 1"))
 put("lidar_tile_footprint_hull", lambda s, d: qv.ve.lidar_tile_footprint(cloud(s, d), True).select("file", qv.ve.area().alias("area")))
