@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
+SLICE_BYTES = 2 << 20  # what a mapping function gets at once, but for a single larger row
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -44,9 +45,23 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow after making sure that workers can import the package."""
+    """mapInArrow in slices of about ``SLICE_BYTES``, after making sure that workers can import the package.
+
+    Spark's batches have a number of rows, not of bytes; Python objects made of a slice have a bound.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(_sliced(batches))
+
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

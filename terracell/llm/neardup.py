@@ -38,12 +38,11 @@ def _word_fingerprints(tables: int):
         import xxhash
 
         for batch in batches:
-            words = [list(set(t.encode("utf-8", "surrogatepass").lower().split())) for t in common.texts(batch)]
-            fps = []
-            for seed in range(tables):
-                hashes = [np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in own), np.uint64, len(own)) for own in words]
-                fps.append(simhash.fingerprints(hashes).view(np.int64))
-            rows = np.stack(fps, axis=1).tolist() if words else []
+            rows = []
+            for text in common.texts(batch):
+                words = set(text.encode("utf-8", "surrogatepass").lower().split())
+                hashes = [np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)) for seed in range(tables)]
+                rows.append(simhash.fingerprints(hashes).view(np.int64).tolist())
             yield pa.record_batch([batch.column("node"), pa.array(rows, pa.list_(pa.int64()))], names=["node", "fps"])
 
     return run
@@ -111,9 +110,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents without all but one of each near-duplicate group; columns stay as they are."""
     decided = common.cut(groups(docs, **options))
     gone = decided.where(~F.col("stays")).select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"))
-    key = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    key, name = F.sha2(F.coalesce(docs["text"], F.lit("")), 256), "_key"
+    while name in docs.columns:
+        name += "_"
     right = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.withColumn("_key", key).join(right, (F.col("_key") == F.col("g_key")) & docs["doc_id"].cast("long").eqNullSafe(F.col("g_id")), "left_anti")
+    kept = docs.withColumn(name, key).join(right, (F.col(name) == F.col("g_key")) & docs["doc_id"].cast("long").eqNullSafe(F.col("g_id")), "left_anti")
     if decided.count() < docs.count():  # repeated rows: one of each stays
-        kept = kept.dropDuplicates(["doc_id", "_key"])
+        kept = kept.dropDuplicates(["doc_id", name])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
