@@ -5,8 +5,8 @@ are grouped when the sets of their five-word shingles have a Jaccard similarity
 which a single 64-bit fingerprint of shingles can't tell from less.  Every text gets ``TABLES``
 fingerprints of its distinct words, which an edit changes far less than its shingles; each
 fingerprint's halves are indexed by their one-bit-deleted variants, as in the operator; members of a
-bucket meet its first member and their neighbours in the order of their ids; and proposed pairs are
-verified exactly.  A pair at similarity 0.8 shares some bucket with a probability of about 0.99 and of
+bucket meet its first two members and the one before them in the order of their ids; and proposed
+pairs are verified exactly.  A pair at similarity 0.8 shares some bucket with a probability of about 0.99 and of
 1 - 1e-5 at 0.9; buckets of any size cost three pairs a member.
 
 Exact copies collapse before anything else.  Defined results: null and empty texts are copies of each
@@ -63,7 +63,7 @@ def _proposed(marked: DataFrame) -> DataFrame:
     variants = halves.select("node", F.col("h.place").alias("place"), F.col("h.half").alias("half"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
     keyed = variants.select("node", F.expr("shiftleft(cast(place * 32 + bit as bigint), 32) | (half & ~shiftleft(1L, bit))").alias("key"))
     order = W.partitionBy("key").orderBy("node")
-    met = keyed.select("node", F.first("node").over(order).alias("x"), F.lag("node", 1).over(order).alias("y"), F.lag("node", 2).over(order).alias("z"))
+    met = keyed.select("node", F.first("node").over(order).alias("x"), F.nth_value("node", 2).over(order).alias("y"), F.lag("node", 1).over(order).alias("z"))  # the first two are the same ones in most buckets, so their pairs repeat
     pairs = met.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("b")).where("a <> b")
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left, right = marked.select(F.col("node").alias("a"), F.col("fps").alias("fa")), marked.select(F.col("node").alias("b"), F.col("fps").alias("fb"))
