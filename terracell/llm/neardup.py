@@ -1,13 +1,20 @@
-"""Near-duplicate groups by similarity of word shingles, found with SimHash variants (operator 8).
+"""Near-duplicate groups by similarity of word shingles: SimHash variants first, then a lossless join (operator 8).
 
 ``simhash.simhash_groups`` links fingerprints by their bits alone.  Here the bits only propose: texts
 are grouped when the sets of their five-word shingles have a Jaccard similarity of 0.8 or more,
-which a single 64-bit fingerprint of shingles can't tell from less.  Every text gets ``TABLES``
-fingerprints of its distinct words, which an edit changes far less than its shingles; each
-fingerprint's halves are indexed by their one-bit-deleted variants, as in the operator; members of a
-bucket meet its first two members and the one before them in the order of their ids; and proposed
-pairs are verified exactly.  A pair at similarity 0.8 shares some bucket with a probability of about 0.99 and of
-1 - 1e-5 at 0.9; buckets of any size cost three pairs a member.
+which a single 64-bit fingerprint of shingles can't tell from less.  Two rounds find the groups:
+
+1. Few pairs that link most of a group.  Every text gets ``TABLES`` fingerprints of its distinct words,
+   whose halves are indexed by their one-bit-deleted variants, as in the operator; members of a bucket
+   meet its first two members and the one before them.  In the same way members of a bucket of
+   texts with a shingle in their prefixes meet its two most central ones, whose shingles are the most
+   frequent: of a base and its variants, the base.  Verified pairs are joined to components.
+2. All other pairs.  A global order of shingles puts frequent ones last; of two sets at 0.8 or more, the
+   first ``size - ceil(0.8 size) + 1`` shingles of both, their prefixes, must share one.  Every pair
+   of members of a prefix's bucket that are in different components is verified unless sizes or
+   places rule it out.  Nothing is capped, so groups are those of comparing all texts.
+
+The counts that order shingles are a bounded table; they change what is compared, never what is found.
 
 Exact copies collapse before anything else.  Defined results: null and empty texts are copies of each
 other; documents of fewer than five words have their whole sequence as the one shingle; of repeated
@@ -16,6 +23,7 @@ rows one stays; rows without an id may stay for their group only if no row with
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,19 +39,71 @@ SIMILARITY = 0.8
 TABLES = 5
 MOST_BITS = 16  # bits of each 64 that a pair may differ in, on average, to be verified
 BROADCAST_IDS = 2_000_000
+FREQUENT = 200_000  # shingles whose counts order the others, at any size of the input
+CHUNK = 4 << 20  # shingles that are counted at once
+
+
+def _repeats(shingle: int):
+    """Shingles that two or more texts of a chunk have, with their number of texts."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        codes, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.record_batch([pa.array(codes[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["code", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for text in common.texts(batch):
+                held.append(np.unique(simhash.shingle_hashes(text, shingle)))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    return run
+
+
+def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and their counts; any such table gives a valid order."""
+    counts = common.arrow_map(texts.select("text"), _repeats(shingle), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "code").limit(FREQUENT).toArrow()
+    codes, n = top.column("code").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(codes)
+    return codes[order], n[order]
+
+
+def _prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, float]:
+    """The first shingles of a set in the global order, and how frequent the set's shingles are on average."""
+    codes, counts = frequent
+    n = np.zeros(len(hashes), np.int64)
+    if len(codes) and len(hashes):
+        at = np.minimum(np.searchsorted(codes, hashes), len(codes) - 1)
+        n = np.where(codes[at] == hashes, counts[at], 0)
+    need = math.ceil(similarity * len(hashes) - 1e-9)
+    order = np.lexsort((hashes, n))[: len(hashes) - need + 1]
+    return hashes[order], float(np.log1p(n).mean()) if len(n) else 0.0
 
 
-def _word_fingerprints(tables: int):
+def _marks(tables: int, shingle: int, similarity: float, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        frequent = shared.value
         for batch in batches:
-            rows = []
+            rows, sizes, central, prefixes = [], [], [], []
             for text in common.texts(batch):
                 words = set(text.encode("utf-8", "surrogatepass").lower().split())
                 hashes = [np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)) for seed in range(tables)]
                 rows.append(simhash.fingerprints(hashes).view(np.int64).tolist())
-            yield pa.record_batch([batch.column("node"), pa.array(rows, pa.list_(pa.int64()))], names=["node", "fps"])
+                own = np.unique(simhash.shingle_hashes(text, shingle))
+                prefix, mean = _prefix(own, frequent, similarity)
+                sizes.append(len(own))
+                central.append(mean)
+                prefixes.append(prefix.view(np.int64))
+            columns = [batch.column("node"), pa.array(rows, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(central, pa.float64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["node", "fps", "size", "central", "prefix"])
 
     return run
 
@@ -71,6 +131,37 @@ def _proposed(marked: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(apart <= MOST_BITS * F.size("fa")).select("a", "b")
 
 
+def _central(marked: DataFrame) -> DataFrame:
+    """Pairs (a, b): members of the bucket of a prefix's shingle with its two most central ones."""
+    keyed = marked.select("node", "central", F.explode("prefix").alias("key"))
+    order = W.partitionBy("key").orderBy(F.desc("central"), "node")
+    met = keyed.select("node", F.first("node").over(order).alias("x"), F.nth_value("node", 2).over(order).alias("y"))
+    pairs = met.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).where("a <> b")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _rest(rooted: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different roots that may reach the similarity: node, root, size and prefix of every text."""
+    keyed = rooted.select("node", "root", "size", F.posexplode("prefix").alias("place", "key"))
+    mixed = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    keyed = common.cut(keyed.join(mixed, "key", "left_semi"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    least = similarity / (1 + similarity)
+    may = F.expr(f"""a.root < b.root and a.size >= {similarity} * b.size - 1e-6 and b.size >= {similarity} * a.size - 1e-6
+        and least(a.size - a.place, b.size - b.place) >= {least} * (a.size + b.size) - 1e-6""")
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & may).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, keyed: DataFrame, chosen: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs whose shingles are similar enough."""
+    asked = common.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets = common.cut(common.arrow_map(_with_texts(keyed, chosen.join(asked, "node", "left_semi"), asked.count()), _shingle_sets(shingle), "node long, set array<long>"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    both = both.where((F.size("sa") >= similarity * F.size("sb")) & (F.size("sb") >= similarity * F.size("sa")))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where((shared >= similarity * (F.size("sa") + F.size("sb") - shared)) & (F.size("sa") > 0)).select("a", "b")
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
     """(doc_id, text_key, stays): one row per distinct document row, with whether it is the one that stays of its group."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -82,17 +173,19 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     n = nodes.count()
     chosen = nodes.select(F.col("first_id").alias("doc_id"), "copy", "node")
     texts = _with_texts(keyed, chosen, n)
-    marked = common.cut(common.arrow_map(texts, _word_fingerprints(tables), "node long, fps array<long>"))
-    pairs = common.cut(_proposed(marked))
-    asked = common.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    sets = common.arrow_map(_with_texts(keyed, chosen.join(asked, "node", "left_semi"), asked.count()), _shingle_sets(shingle), "node long, set array<long>")
-    sets = common.cut(sets)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    both = both.where((F.size("sa") >= similarity * F.size("sb")) & (F.size("sb") >= similarity * F.size("sa")))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = both.where((shared >= similarity * (F.size("sa") + F.size("sb") - shared)) & (F.size("sa") > 0)).select("a", "b")
-    found = components(alike)
-    rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(texts, shingle))
+    marks = common.arrow_map(texts, _marks(tables, shingle, similarity, shared), "node long, fps array<long>, size int, central double, prefix array<long>")
+    marked = common.cut(marks.dropDuplicates(["node"]))  # a repeated row has its text twice
+    pairs = common.cut(_proposed(marked).union(_central(marked)).distinct())
+    found = common.cut(components(_alike(pairs, keyed, chosen, shingle, similarity)))
+    own = common.cut(marked.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix"))
+    pairs = common.cut(_rest(own, similarity))
+    late = _alike(pairs, keyed, chosen, shingle, similarity)
+    roots = own.select("node", "root")
+    late = late.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    joined = components(late.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    last = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    rooted = nodes.join(last, "node")
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("least"))
     stays = rooted.join(least, "root").select("copy", (F.col("least.node") == F.col("node")).alias("kept"), "first_id")
     return rows.join(stays, "copy").select("doc_id", F.col("copy").alias("text_key"), (F.col("kept") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("stays"))

@@ -116,3 +116,33 @@ def test_near_duplicates_are_found_and_others_stay(docs):
 def test_repeated_rows_keep_one(docs):
     kept = neardup.keep_one(docs([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "h i j k l m")])).collect()
     assert sorted(r["doc_id"] for r in kept) == [1, 2]
+
+
+def varied(rng, own, number, n=5):
+    """The words with some replaced, far from each other."""
+    now = list(own)
+    for k in rng.sample(range(5, len(now) - 5, 6), n):
+        now[k] = f"edit{number}x{k}"
+    return now
+
+
+def kept_by_brute_force(rows):
+    sets = [shingles(t) for _, t in rows]
+    roots = reachable(sets, lambda a, b: a == b or (bool(a | b) and jaccard(a, b) >= 0.8))
+    return {min(d for (d, _), x in zip(rows, roots, strict=True) if x == r) for r in set(roots)}
+
+
+def test_star_of_variants_and_a_crowded_bucket(docs):
+    """Variants are similar to their base, which isn't first of its buckets, and not to each other."""
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(3000)]
+    rows = []
+    base = rng.choices(words, k=250)
+    rows += [(1000 + i, " ".join(varied(rng, base, i))) for i in range(300)] + [(5000, " ".join(base))]
+    few = [f"few{i}" for i in range(60)]  # unrelated texts of the same words, and near copies among them
+    for i in range(60):
+        own = rng.sample(few, k=60)
+        rows += [(2000 + i, " ".join(own)), (3000 + i, " ".join([*own, "end"]))]
+    assert max(jaccard(shingles(rows[0][1]), shingles(t)) for _, t in rows[1:300]) < 0.8
+    kept = {r["doc_id"] for r in neardup.keep_one(docs(rows)).collect()}
+    assert kept == kept_by_brute_force(rows) == {1000, *range(2000, 2060)}
