@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from . import common, simhash
@@ -131,24 +131,36 @@ def _proposed(marked: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(apart <= MOST_BITS * F.size("fa")).select("a", "b")
 
 
-def _central(marked: DataFrame) -> DataFrame:
-    """Pairs (a, b): members of the bucket of a prefix's shingle with its two most central ones."""
-    keyed = marked.select("node", "central", F.explode("prefix").alias("key"))
-    order = W.partitionBy("key").orderBy(F.desc("central"), "node")
-    met = keyed.select("node", F.first("node").over(order).alias("x"), F.nth_value("node", 2).over(order).alias("y"))
-    pairs = met.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).where("a <> b")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def _may(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of these sizes, with a shingle at these places of their orders, may be similar enough if it is the first that they share."""
+    least = similarity / (1 + similarity)
+    return F.expr(f"""{a}.size >= {similarity} * {b}.size - 1e-6 and {b}.size >= {similarity} * {a}.size - 1e-6
+        and least({a}.size - {a}.place, {b}.size - {b}.place) >= {least} * ({a}.size + {b}.size) - 1e-6""")
 
 
-def _rest(rooted: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of different roots that may reach the similarity: node, root, size and prefix of every text."""
-    keyed = rooted.select("node", "root", "size", F.posexplode("prefix").alias("place", "key"))
-    mixed = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    keyed = common.cut(keyed.join(mixed, "key", "left_semi"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    least = similarity / (1 + similarity)
-    may = F.expr(f"""a.root < b.root and a.size >= {similarity} * b.size - 1e-6 and b.size >= {similarity} * a.size - 1e-6
-        and least(a.size - a.place, b.size - b.place) >= {least} * (a.size + b.size) - 1e-6""")
+def _buckets(marked: DataFrame) -> DataFrame:
+    """key, node, place, size, central: the prefixes' shingles that two or more texts have, by 48 of their bits."""
+    keyed = marked.select("node", F.posexplode("prefix").alias("place", "key")).withColumn("key", F.expr("key & 281474976710655L"))
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1").select("key", "node", "place")
+    return shared.join(marked.select("node", "size", "central"), "node")
+
+
+def _central(buckets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b): members of a bucket with its two most central ones."""
+    keyed = buckets.select("key", "central", F.struct("node", "size", "place").alias("own"))
+    order = W.partitionBy("key").orderBy(F.desc("central"), "own.node")
+    met = keyed.select("own", F.first("own").over(order).alias("x"), F.nth_value("own", 2).over(order).alias("y"))
+    pairs = met.select("own", F.explode(F.array("x", "y")).alias("other")).where("own.node <> other.node").where(_may("own", "other", similarity))
+    return pairs.select(F.greatest("own.node", "other.node").alias("a"), F.least("own.node", "other.node").alias("b")).distinct()
+
+
+def _rest(buckets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of a bucket that have different roots and may reach the similarity."""
+    rooted = buckets.join(roots, "node").select("key", "node", "place", "size", "root")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rooted = common.cut(rooted.join(mixed, "key", "left_semi"))
+    a, b = rooted.alias("a"), rooted.alias("b")
+    may = (F.col("a.root") < F.col("b.root")) & _may("a", "b", similarity)
     return a.join(b, (F.col("a.key") == F.col("b.key")) & may).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
@@ -175,13 +187,14 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     texts = _with_texts(keyed, chosen, n)
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(texts, shingle))
     marks = common.arrow_map(texts, _marks(tables, shingle, similarity, shared), "node long, fps array<long>, size int, central double, prefix array<long>")
-    marked = common.cut(marks.dropDuplicates(["node"]))  # a repeated row has its text twice
-    pairs = common.cut(_proposed(marked).union(_central(marked)).distinct())
+    # a repeated row has its text more than once
+    marked = common.cut(marks if own.count() == rows.count() else marks.dropDuplicates(["node"]))
+    buckets = common.cut(_buckets(marked))
+    pairs = common.cut(_proposed(marked).union(_central(buckets, similarity)).distinct())
     found = common.cut(components(_alike(pairs, keyed, chosen, shingle, similarity)))
-    own = common.cut(marked.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix"))
-    pairs = common.cut(_rest(own, similarity))
+    roots = common.cut(nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    pairs = common.cut(_rest(buckets, roots, similarity))
     late = _alike(pairs, keyed, chosen, shingle, similarity)
-    roots = own.select("node", "root")
     late = late.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
     joined = components(late.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     last = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))

@@ -146,3 +146,20 @@ def test_star_of_variants_and_a_crowded_bucket(docs):
     assert max(jaccard(shingles(rows[0][1]), shingles(t)) for _, t in rows[1:300]) < 0.8
     kept = {r["doc_id"] for r in neardup.keep_one(docs(rows)).collect()}
     assert kept == kept_by_brute_force(rows) == {1000, *range(2000, 2060)}
+
+
+@pytest.mark.parametrize("frequent", [200_000, 3])
+def test_whole_passages_appended_or_replaced(docs, monkeypatch, frequent):
+    """Distinct words change as much as shingles here, so that word fingerprints miss about half."""
+    monkeypatch.setattr(neardup, "FREQUENT", frequent)
+    rng = random.Random(8)
+    rows = []
+    for i in range(100):
+        words = [f"t{i}w{k}" for k in range(rng.randint(80, 400))]
+        n = round(len(words) * rng.uniform(0.08, 0.24 if i % 2 else 0.11))
+        new = [f"t{i}new{k}" for k in range(n)]
+        at = rng.randrange(len(words) - n)
+        rows += [(i, " ".join(words)), (1000 + i, " ".join([*words, *new] if i % 2 else [*words[:at], *new, *words[at + n :]]))]
+    alike = sum(jaccard(shingles(rows[2 * i][1]), shingles(rows[2 * i + 1][1])) >= 0.8 for i in range(100))
+    assert 60 < alike < 100
+    assert {r["doc_id"] for r in neardup.keep_one(docs(rows)).collect()} == kept_by_brute_force(rows)
