@@ -1,12 +1,17 @@
 """Language-model scoring by cross-entropy difference (operator 10).
 
-Two byte-level trigram models, of a target corpus and of a background, share one vocabulary: the 256
+The operator's models are word bigrams of all documents (``word_cross_entropy_difference``): their counts
+are distributed tables that grow with the corpus and are joined to the documents' bigrams; only the
+numbers of words and tokens reach the driver.  The vocabulary, shared by both models, is the corpus's
+lower-cased words and an edge, so no text has unknown words.
+
+``cross_entropy_difference`` is the same by spelling.  Two byte-level trigram models, of a target corpus and of a background, share one vocabulary: the 256
 bytes and an edge mark, so no text has unknown tokens.  Trigrams of all documents are counted on the
 executors, sorted and merged before the shuffle; the counts are matched - the background's are
 scaled to the target's number of tokens, so that both models are smoothed alike - and a document's
 score is the mean over its tokens of target loss minus background loss: lower is closer to the target.
 
-What reaches the driver and is broadcast is a table over the trigrams of the bytes that occur: at most
+What reaches the driver there and is broadcast is a table over the trigrams of the bytes that occur: at most
 257**3 entries, by construction, whatever the size of the corpus.
 
 Defined results: null and empty texts are one token, the edge; repeated rows count and score each time;
@@ -16,11 +21,12 @@ missing, from smoothing alone; empty tables give no rows; other columns are igno
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
 
@@ -155,3 +161,47 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     """Every document scored by models of the target documents and of all others."""
     return score(docs, fit(docs, target_ids, smoothing))
+
+
+def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's different word bigrams: hashes of the first word and of both, and how often."""
+    import xxhash
+
+    for batch in batches:
+        places, first, both, counts = [], [], [], []
+        for k, text in enumerate(_bytes(batch)):
+            words = [b"", *text.lower().split(), b""]
+            pairs = Counter(zip(words, words[1:], strict=False))
+            places += [k] * len(pairs)
+            first += [xxhash.xxh64_intdigest(a) for a, _ in pairs]
+            both += [xxhash.xxh64_intdigest(a + b" " + b) for a, b in pairs]
+            counts += pairs.values()
+        taken = [batch.column(c).take(pa.array(places, pa.int64())) for c in ("row", "doc_id", "is_target")]
+        hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, both)]
+        yield pa.record_batch([*taken, *hashes, pa.array(counts, pa.int64())], names=["row", "doc_id", "is_target", "first", "both", "n"])
+
+
+def word_cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+    """Every document scored by word bigram models of the target documents and of all others.
+
+    A word has the probability (count of the bigram + smoothing / vocabulary) / (count of the word before
+    + smoothing).  Joins on hot bigrams are split at run time, as counts have one row each.
+    """
+    marked = _flagged(docs, target_ids).withColumn("row", F.monotonically_increasing_id())
+    marked = common.cut(common.arrow_map(marked.select("row", "doc_id", "is_target", "text"), _bigrams, "row long, doc_id long, is_target boolean, first long, both long, n long"))
+    n = F.col("n").cast("double")
+    pairs = marked.groupBy("both").agg(F.min("first").alias("first"), F.sum(F.when(F.col("is_target"), n).otherwise(0.0)).alias("t"), F.sum(F.when(F.col("is_target"), 0.0).otherwise(n)).alias("b"))
+    pairs = common.cut(pairs)
+    before = common.cut(pairs.groupBy("first").agg(F.sum("t").alias("t1"), F.sum("b").alias("b1")))
+    # every word and the edge come first in some bigram
+    size, targets, others = before.agg(F.count(F.lit(1)), F.coalesce(F.sum("t1"), F.lit(0.0)), F.coalesce(F.sum("b1"), F.lit(0.0))).first()
+    scale = targets / others if targets and others else 1.0
+    least = smoothing / max(size, 1)
+
+    def loss(pair: str, word: str, by: float) -> Column:
+        return F.log((F.col(word) * by + smoothing) / (F.col(pair) * by + least))
+
+    losses = pairs.join(before, "first").select("both", loss("t", "t1", 1.0).alias("lt"), loss("b", "b1", scale).alias("lb"))
+    sums = marked.join(losses, "both").groupBy("row", "doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(n * F.col("lt")).alias("t"), F.sum(n * F.col("lb")).alias("b"))
+    means = sums.select("doc_id", "n_tokens", (F.col("t") / F.col("n_tokens")).alias("target_loss"), (F.col("b") / F.col("n_tokens")).alias("background_loss"))
+    return means.withColumn("score", F.col("target_loss") - F.col("background_loss"))

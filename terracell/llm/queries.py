@@ -48,7 +48,7 @@ def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is what the labels call good and not toxic; all other documents are the background."""
     good = common.table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (F.col("toxic") == 0))
-    return lm.cross_entropy_difference(common.table(spark, sf_dir, "documents"), good.select("doc_id"))
+    return lm.word_cross_entropy_difference(common.table(spark, sf_dir, "documents"), good.select("doc_id"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,28 @@ def test_one_sided_and_empty(docs, spark):
     assert lm.cross_entropy_difference(docs([]), none).count() == 0
     large = lm.cross_entropy_difference(docs([(1, "word " * 20_000), (2, "a")]).withColumn("n", F.lit(1)), none)
     assert large.count() == 2
+
+
+def test_query_has_models_of_all_words(docs, spark, tmp_path):
+    """The spelling is the same on both sides: only pairs of words tell them apart."""
+    from terracell.llm.queries import QUERIES
+
+    rows = [(i, "ab cd ab cd") for i in range(4)] + [(10 + i, "cd ab  cd AB") for i in range(4)] + [(20, None), (21, ""), (10, "cd ab  cd AB"), (None, "ab")]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(4)] + [(10, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["op10_lm_cross_entropy"](spark, str(tmp_path)).collect()
+    pairs = lambda t: [*zip(w := ["", *(t or "").lower().split(), ""], w[1:], strict=False)]
+    sides = [Counter(p for d, t in rows if (d in range(4)) == side for p in pairs(t)) for side in (True, False)]
+    scales = [1.0, sides[0].total() / sides[1].total()]
+
+    def loss(t, side):
+        c, by, s = sides[side], scales[side], lm.SMOOTHING
+        word = lambda a: sum(v for k, v in c.items() if k[0] == a) * by
+        return np.mean([math.log((word(a) + s) / (c[a, b] * by + s / 3)) for a, b in pairs(t)])
+
+    want = sorted(((d or -1, len(pairs(t)), loss(t, 0), loss(t, 1)) for d, t in rows))
+    assert len(got) == len(want)
+    for r, w in zip(sorted(got, key=lambda r: (r["doc_id"] or -1)), sorted(want, key=lambda w: w[0]), strict=True):
+        if w[0] > 0:
+            assert ((r["doc_id"], r["n_tokens"]) == w[:2]) and (r["target_loss"], r["background_loss"]) == pytest.approx(w[2:])
+            assert r["score"] == pytest.approx(w[2] - w[3])
