@@ -79,8 +79,8 @@ put("lidar_tophat_transform", lambda s, d: li.lidar_tophat_transform(small(s, d)
 put("height_above_ground", lambda s, d: li.height_above_ground(small(s, d), 1.0).select("pid", "z"), lsql("select s.pid, round(case when s.class = 2 then 0 else s.z - g.oz end, 6) + 0.0 as z from s left join (select n.pid, n.oz, row_number() over (partition by n.pid order by n.dist, n.o) as k from near n join s t on t.pid = n.o and t.class = 2) g on g.pid = s.pid and k = 1", _NEAR))
 put("normalize_lidar", lambda s, d: li.normalize_lidar(cloud(s, d), fx.n(s, d), 2.0, 106.0).select("pid", "z"), lsql("select pid, round(z - n.value, 6) + 0.0 as z from l join n on n.row = floor((106 - y) / 2) and n.col = floor(x / 2) and n.value is not null"))
 put("lidar_ground_point_filter", lambda s, d: li.lidar_ground_point_filter(small(s, d), 1.0, 2).select("pid", "class"), lsql("select s.pid, case when coalesce(off and n >= 2, false) then 1 else 2 end::int as class from s left join (select pid, bool_or(degrees(atan2(z - oz, dist)) > 45 and z - oz > 1) as off, count(*) as n from near where o <> pid group by 1) x on x.pid = s.pid", _NEAR))
-put("normal_vectors", lambda s, d: li.normal_vectors(small(s, d), 1.0).select("pid", "red", "green", "blue"))
-put("lidar_hillshade", lambda s, d: li.lidar_hillshade(small(s, d), radius=1.0).select("pid", "shade"))
+put("normal_vectors", lambda s, d: li.normal_vectors(cloud(s, d), 1.0).select("pid", "red", "green", "blue"))
+put("lidar_hillshade", lambda s, d: li.lidar_hillshade(cloud(s, d), radius=1.0).select("pid", "shade"))
 put("lidar_info", lambda s, d: li.lidar_info(cloud(s, d)), lsql("select file, count(*) as n, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y, round(min(z), 6) as min_z, round(max(z), 6) as max_z, round(count(*) / ((max(x) - min(x)) * (max(y) - min(y))), 6) as density from l group by 1"))
 put("lidar_info_classes", lambda s, d: li.lidar_info_classes(cloud(s, d)), lsql("select file, class, ret, count(*) as n from l group by 1, 2, 3"))
 put("lidar_histogram", lambda s, d: li.lidar_histogram(cloud(s, d), "elevation", 2.0, 20), lsql("select least(floor((z - lo) / ((hi - lo) / 20)), 19)::int as bin, count(*) as n from l cross join (select quantile_cont(z, 0.02) as lo, quantile_cont(z, 0.98) as hi from l) where z between lo and hi group by 1"))
