@@ -60,40 +60,46 @@ def test_held_out_accuracy_on_the_test_table(spark):
     assert auc > 0.9 and accuracy > 0.9, (auc, accuracy)
 
 
-def losses(texts, smoothing=lm.SMOOTHING):
-    """-log p of every trigram by counters, unmatched: for one side with weight 1."""
-    three, two, one = Counter(), Counter(), Counter()
-    for t in texts:
-        s = [0, 0, *(b + 1 for b in t.encode()), 0]
-        for i in range(2, len(s)):
-            three[tuple(s[i - 2 : i + 1])] += 1
-            two[tuple(s[i - 1 : i + 1])] += 1
-            one[s[i]] += 1
-    total = sum(one.values())
-
-    def loss(a, b, c):
-        p1 = (one[c] + 1) / (total + 257)
-        n2 = sum(v for k, v in two.items() if k[0] == b)
-        p2 = (two[b, c] + smoothing * p1) / (n2 + smoothing)
-        n3 = sum(v for k, v in three.items() if k[:2] == (a, b))
-        return -math.log((three[a, b, c] + smoothing * p2) / (n3 + smoothing))
-
-    return loss
-
-
-def test_losses_equal_counters(docs, spark):
-    target = ["the cat sat", "the cat ran", ""]
-    rows = [(i, t) for i, t in enumerate(target)] + [(10, "zzz xyz"), (11, None)]
-    ids = spark.createDataFrame([(0,), (1,), (2,), (2,), (None,), (77,)], "doc_id long")
-    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs(rows, extra=["is_target", "code", "score"]), ids).collect()}
-    loss = losses(target)
-    for d, t in rows:
-        s = [0, 0, *(b + 1 for b in (t or "").encode()), 0]
-        want = sum(loss(*s[i - 2 : i + 1]) for i in range(2, len(s))) / (len(s) - 2)
-        assert got[d]["n_tokens"] == len(s) - 2
-        assert got[d]["target_loss"] == pytest.approx(want, rel=1e-4)
-        assert got[d]["score"] == pytest.approx(got[d]["target_loss"] - got[d]["background_loss"])
-    assert got[0]["score"] < 0 < got[10]["score"]
+def losses(rows, target):
+    """(target loss, background loss) of each text by counters, its own counts left out."""
+    pairs = lambda t: [*zip(w := ["", *(t or "").lower().split()], [*w[1:], ""], strict=True)]
+    flags = [d in target for d, _ in rows]
+    sides = [Counter(p for (_, t), f in zip(rows, flags, strict=True) if f == side for p in pairs(t)) for side in (True, False)]
+    size = len({w for c in sides for p in c for w in p})
+    totals = [c.total() for c in sides]
+    scales = [1.0, totals[0] / totals[1] if all(totals) else 1.0]
+    s = lm.SMOOTHING
+    out = []
+    for (d, t), flag in zip(rows, flags, strict=True):
+        own, means = Counter(pairs(t)), []
+        for side, (c, by) in enumerate(zip(sides, scales, strict=True)):
+            left = c - own if flag == (side == 0) else c
+            word = Counter()
+            for (a, _), n in left.items():
+                word[a] += n * by
+            p = lambda b: (word[b] + 1) / (left.total() * by + size)
+            means.append(np.mean([math.log((word[a] + s) / (left[a, b] * by + s * p(b))) for a, b in pairs(t)]))
+        out.append((d, len(pairs(t)), *means))
+    return out
+
+
+ROWS = [(i, "ab cd ab cd") for i in range(4)] + [(10 + i, "cd ab  cd AB") for i in range(4)] + [(20, None), (21, ""), (10, "cd ab  cd AB"), (22, "ef gh " * 50), (None, "ab")]
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1_500_000])
+def test_losses_equal_counters(docs, spark, chunk):
+    """Whatever the chunks; a model of spelling alone couldn't tell the two sides apart."""
+    ids = spark.createDataFrame([(0,), (1,), (2,), (2,), (3,), (None,), (77,)], "doc_id long")
+    frame = docs(ROWS, extra=["is_target", "code", "score", "chunk"])
+    got = lm.cross_entropy_difference(frame, ids, chunk=chunk).collect()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    want = sorted(losses(ROWS, {0, 1, 2, 3}), key=key)
+    assert len(got) == len(want)
+    for r, w in zip(sorted(got, key=key), want, strict=True):
+        assert (r["doc_id"], r["n_tokens"]) == w[:2]
+        assert (r["target_loss"], r["background_loss"]) == pytest.approx(w[2:])
+        assert r["score"] == pytest.approx(w[2] - w[3])
+    assert max(r["score"] for r in got if r["doc_id"] in (0, 1, 2, 3)) < min(r["score"] for r in got if r["doc_id"] in (10, 11, 12, 13))
 
 
 def test_one_sided_and_empty(docs, spark):
@@ -105,26 +111,10 @@ def test_one_sided_and_empty(docs, spark):
     assert large.count() == 2
 
 
-def test_query_has_models_of_all_words(docs, spark, tmp_path):
-    """The spelling is the same on both sides: only pairs of words tell them apart."""
+def test_query(docs, spark, tmp_path):
     from terracell.llm.queries import QUERIES
 
-    rows = [(i, "ab cd ab cd") for i in range(4)] + [(10 + i, "cd ab  cd AB") for i in range(4)] + [(20, None), (21, ""), (10, "cd ab  cd AB"), (None, "ab")]
-    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(4)] + [(10, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs(ROWS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(4)] + [(10, 0, 0), (11, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = QUERIES["op10_lm_cross_entropy"](spark, str(tmp_path)).collect()
-    pairs = lambda t: [*zip(w := ["", *(t or "").lower().split(), ""], w[1:], strict=False)]
-    sides = [Counter(p for d, t in rows if (d in range(4)) == side for p in pairs(t)) for side in (True, False)]
-    scales = [1.0, sides[0].total() / sides[1].total()]
-
-    def loss(t, side):
-        c, by, s = sides[side], scales[side], lm.SMOOTHING
-        word = lambda a: sum(v for k, v in c.items() if k[0] == a) * by
-        return np.mean([math.log((word(a) + s) / (c[a, b] * by + s / 3)) for a, b in pairs(t)])
-
-    want = sorted(((d or -1, len(pairs(t)), loss(t, 0), loss(t, 1)) for d, t in rows))
-    assert len(got) == len(want)
-    for r, w in zip(sorted(got, key=lambda r: (r["doc_id"] or -1)), sorted(want, key=lambda w: w[0]), strict=True):
-        if w[0] > 0:
-            assert ((r["doc_id"], r["n_tokens"]) == w[:2]) and (r["target_loss"], r["background_loss"]) == pytest.approx(w[2:])
-            assert r["score"] == pytest.approx(w[2] - w[3])
+    assert sorted((r["doc_id"] or -1, round(r["score"], 9)) for r in got) == sorted((d or -1, round(t - b, 9)) for d, _, t, b in losses(ROWS, {0, 1, 2, 3}))
