@@ -2,23 +2,27 @@
 
 ``simhash.simhash_groups`` links fingerprints by their bits alone.  Here the bits only propose: texts
 are grouped when the sets of their five-word shingles have a Jaccard similarity of 0.8 or more,
-which a single 64-bit fingerprint of shingles can't tell from less.  Two rounds find the groups:
-
-1. Few pairs that link most of a group.  Every text gets ``TABLES`` fingerprints of its distinct words,
-   whose halves are indexed by their one-bit-deleted variants, as in the operator; members of a bucket
-   meet its first two members and the one before them.  In the same way members of a bucket of
-   texts with a shingle in their prefixes meet its two most central ones, whose shingles are the most
-   frequent: of a base and its variants, the base.  Verified pairs are joined to components.
-2. All other pairs.  A global order of shingles puts frequent ones last; of two sets at 0.8 or more, the
-   first ``size - ceil(0.8 size) + 1`` shingles of both, their prefixes, must share one.  Every pair
-   of members of a prefix's bucket that are in different components is verified unless sizes or
-   places rule it out.  Nothing is capped, so groups are those of comparing all texts.
+which a single 64-bit fingerprint of shingles can't tell from less.
+
+Texts may be similar only if their prefixes share a shingle: a global order of shingles puts frequent
+ones last; of two sets at 0.8 or more, the first ``size - ceil(0.8 size) + 1`` shingles of both, their
+prefixes, must share one.  Texts that share none are done.  Of the rest, groups are found in three steps:
+
+1. Fingerprints of the texts' distinct words meet by the operator's one-bit-deleted variants.  A text
+   meets one partner; verified pairs are joined to components.
+2. Rounds of stars, until one finds few links: in each bucket of a prefix's shingle, members meet the
+   most central one if it is in another component: the one whose shingles are the most frequent, of a
+   base and its variants the base.  A text meets the hub that it shares most buckets with.
+3. All other pairs: of every two members of a bucket in different components the shared buckets are
+   counted, and pairs are verified unless sizes, places or that count rule them out.  Nothing is
+   capped, so groups are those of comparing all texts, whatever the first two steps found.
 
 The counts that order shingles are a bounded table; they change what is compared, never what is found.
 
 Exact copies collapse before anything else.  Defined results: null and empty texts are copies of each
 other; documents of fewer than five words have their whole sequence as the one shingle; of repeated
-rows one stays; rows without an id may stay for their group only if no row with an id does.
+rows one stays; rows without an id may stay for their group only if no row with an id does; other
+columns are kept as they are; a text must fit in a task's memory, as its set of shingles does.
 """
 
 from __future__ import annotations
@@ -36,10 +40,9 @@ from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-TABLES = 5
-MOST_BITS = 16  # bits of each 64 that a pair may differ in, on average, to be verified
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000  # rows of two numbers that are broadcast at most, about 30 MB
 FREQUENT = 200_000  # shingles whose counts order the others, at any size of the input
+ROUND = 20  # stars go on while a round links one in so many texts
 CHUNK = 4 << 20  # shingles that are counted at once
 
 
@@ -68,7 +71,14 @@ def _repeats(shingle: int):
 def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their counts; any such table gives a valid order."""
     counts = common.arrow_map(texts.select("text"), _repeats(shingle), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "code").limit(FREQUENT).toArrow()
+    counts = common.cut(counts.withColumn("step", F.floor(4 * F.log2("n")).cast("int")))
+    least, total = 1 << 30, 0
+    for step, n in sorted((tuple(r) for r in counts.groupBy("step").count().collect()), reverse=True):  # some 200 rows at most
+        total += n
+        if total > FREQUENT:
+            break
+        least = step
+    top = counts.where(F.col("step") >= least).select("code", "n").toArrow()
     codes, n = top.column("code").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(codes)
     return codes[order], n[order]
@@ -86,24 +96,24 @@ def _prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similar
     return hashes[order], float(np.log1p(n).mean()) if len(n) else 0.0
 
 
-def _marks(tables: int, shingle: int, similarity: float, shared):
+def _marks(shingle: int, similarity: float, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         frequent = shared.value
         for batch in batches:
-            rows, sizes, central, prefixes = [], [], [], []
+            words, sizes, central, prefixes = [], [], [], []
             for text in common.texts(batch):
-                words = set(text.encode("utf-8", "surrogatepass").lower().split())
-                hashes = [np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)) for seed in range(tables)]
-                rows.append(simhash.fingerprints(hashes).view(np.int64).tolist())
+                own = set(text.encode("utf-8", "surrogatepass").lower().split())
+                words.append(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)))
                 own = np.unique(simhash.shingle_hashes(text, shingle))
                 prefix, mean = _prefix(own, frequent, similarity)
                 sizes.append(len(own))
                 central.append(mean)
                 prefixes.append(prefix.view(np.int64))
-            columns = [batch.column("node"), pa.array(rows, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(central, pa.float64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, names=["node", "fps", "size", "central", "prefix"])
+            fps = simhash.fingerprints(words).view(np.int64)
+            columns = [batch.column("node"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(central, pa.float32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["node", "fp", "size", "central", "prefix"])
 
     return run
 
@@ -118,108 +128,152 @@ def _shingle_sets(shingle: int):
 
 
 def _proposed(marked: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a variant, with their fingerprints close enough to verify."""
-    halves = marked.select("node", F.posexplode("fps").alias("table", "fp")).select("node", F.explode(F.array(*[F.struct((2 * F.col("table") + i).alias("place"), F.expr(e).alias("half")) for i, e in enumerate(("fp & 4294967295L", "shiftrightunsigned(fp, 32)"))])).alias("h"))
-    variants = halves.select("node", F.col("h.place").alias("place"), F.col("h.half").alias("half"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
-    keyed = variants.select("node", F.expr("shiftleft(cast(place * 32 + bit as bigint), 32) | (half & ~shiftleft(1L, bit))").alias("key"))
-    order = W.partitionBy("key").orderBy("node")
-    met = keyed.select("node", F.first("node").over(order).alias("x"), F.nth_value("node", 2).over(order).alias("y"), F.lag("node", 1).over(order).alias("z"))  # the first two are the same ones in most buckets, so their pairs repeat
-    pairs = met.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("b")).where("a <> b")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    left, right = marked.select(F.col("node").alias("a"), F.col("fps").alias("fa")), marked.select(F.col("node").alias("b"), F.col("fps").alias("fb"))
-    apart = F.expr("aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
-    return pairs.join(left, "a").join(right, "b").where(apart <= MOST_BITS * F.size("fa")).select("a", "b")
-
-
-def _may(a: str, b: str, similarity: float) -> Column:
-    """Whether sets of these sizes, with a shingle at these places of their orders, may be similar enough if it is the first that they share."""
-    least = similarity / (1 + similarity)
-    return F.expr(f"""{a}.size >= {similarity} * {b}.size - 1e-6 and {b}.size >= {similarity} * {a}.size - 1e-6
-        and least({a}.size - {a}.place, {b}.size - {b}.place) >= {least} * ({a}.size + {b}.size) - 1e-6""")
+    """Pairs (a, b): at most one partner b for each node a, by equal fingerprints or a shared variant.
+
+    A variant's hub is its least fingerprint; a fingerprint meets the hubs of its variants.
+    """
+    nodes = marked.select("node", "fp")
+    fps = common.cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    variants = simhash.variants(fps.select("fp"))
+    hubs = variants.groupBy("key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub")))
+    met = variants.join(hubs, "key").where("fp <> hub").groupBy("fp").agg(F.min(F.struct(near.alias("bits"), "hub")).alias("best"))
+    met = met.select("fp", F.col("best.hub").alias("hub")).join(fps, "fp").join(fps.select(F.col("fp").alias("hub"), F.col("first").alias("b")), "hub")
+    same = nodes.join(fps, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return met.select(F.col("first").alias("a"), "b").union(same)
 
 
 def _buckets(marked: DataFrame) -> DataFrame:
-    """key, node, place, size, central: the prefixes' shingles that two or more texts have, by 48 of their bits."""
-    keyed = marked.select("node", F.posexplode("prefix").alias("place", "key")).withColumn("key", F.expr("key & 281474976710655L"))
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1").select("key", "node", "place")
-    return shared.join(marked.select("node", "size", "central"), "node")
+    """key, node, size, left, central: the prefixes' shingles that two or more texts have, by 48 of their bits.
 
+    ``left`` is the number of the text's shingles after its prefix.
+    """
+    keyed = marked.select("node", F.explode(F.array_distinct(F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << 48) - 1))))).alias("key"))
+    common_keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = keyed.join(common_keys, "key", "left_semi")
+    return shared.join(marked.select("node", "size", (F.col("size") - F.size("prefix")).alias("left"), "central"), "node")
 
-def _central(buckets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b): members of a bucket with its two most central ones."""
-    keyed = buckets.select("key", "central", F.struct("node", "size", "place").alias("own"))
-    order = W.partitionBy("key").orderBy(F.desc("central"), "own.node")
-    met = keyed.select("own", F.first("own").over(order).alias("x"), F.nth_value("own", 2).over(order).alias("y"))
-    pairs = met.select("own", F.explode(F.array("x", "y")).alias("other")).where("own.node <> other.node").where(_may("own", "other", similarity))
-    return pairs.select(F.greatest("own.node", "other.node").alias("a"), F.least("own.node", "other.node").alias("b")).distinct()
 
+def _star(rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b): a member of a bucket with its most central one b if of another component; of several, the one most met."""
+    hubs = rooted.groupBy("key").agg(F.max(F.struct("central", "node", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
+    hubs = hubs.where("low <> high").select("key", F.col("hub.node").alias("b"), F.col("hub.root").alias("other"))
+    met = rooted.select("key", F.col("node").alias("a"), "root").join(hubs, "key").where("root <> other")
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
-def _rest(buckets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of a bucket that have different roots and may reach the similarity."""
-    rooted = buckets.join(roots, "node").select("key", "node", "place", "size", "root")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rooted = common.cut(rooted.join(mixed, "key", "left_semi"))
-    a, b = rooted.alias("a"), rooted.alias("b")
-    may = (F.col("a.root") < F.col("b.root")) & _may("a", "b", similarity)
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & may).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+def _need(a: str, b: str, similarity: float) -> Column:
+    """Buckets that two sets must share: what comes after the prefix that ends first in the global order is at most that
+    prefix's ``left``, and what comes before is in shared buckets, so the larger ``left`` bounds the rest of the overlap."""
+    least = similarity / (1 + similarity)
+    return F.expr(f"{least} * ({a}.size + {b}.size) - greatest({a}.left, {b}.left) - 1e-6")
 
 
-def _alike(pairs: DataFrame, keyed: DataFrame, chosen: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _rest(rooted: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of a bucket that have different roots and may reach the similarity."""
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    members = common.cut(rooted.join(mixed, "key", "left_semi").drop("central"))
+    a, b = members.alias("a"), members.alias("b")
+    sizes = F.expr(f"a.size >= {similarity} * b.size - 1e-6 and b.size >= {similarity} * a.size - 1e-6")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & sizes)
+    counted = met.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.max(_need("a", "b", similarity)).alias("need"))
+    return counted.where("n >= need").select("a", "b")
+
+
+def _bounded(pairs: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shared buckets leave the similarity possible."""
+    few = pairs.count() <= BROADCAST_IDS
+    side = F.broadcast(pairs) if few else pairs
+    own = buckets.select("key", "node", "size", "left")
+    ends = [own.join(side, F.col("node") == F.col(c)).select("a", "b", "key", F.struct("size", "left").alias(f"own_{c}")) for c in ("a", "b")]
+    met = ends[0].join(ends[1], ["a", "b", "key"])
+    sizes = F.expr(f"own_a.size >= {similarity} * own_b.size - 1e-6 and own_b.size >= {similarity} * own_a.size - 1e-6")
+    counted = met.where(sizes).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max(_need("own_a", "own_b", similarity)).alias("need"))
+    return counted.where("n >= need").select("a", "b")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs whose shingles are similar enough."""
     asked = common.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    sets = common.cut(common.arrow_map(_with_texts(keyed, chosen.join(asked, "node", "left_semi"), asked.count()), _shingle_sets(shingle), "node long, set array<long>"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    both = both.where((F.size("sa") >= similarity * F.size("sb")) & (F.size("sb") >= similarity * F.size("sa")))
+    few = asked.count() <= BROADCAST_IDS and pairs.count() <= BROADCAST_IDS
+    wanted = texts.join(F.broadcast(asked) if few else asked, "node", "left_semi")
+    sets = common.cut(common.arrow_map(wanted, _shingle_sets(shingle), "node long, set array<long>"))
+    side = F.broadcast(pairs) if few else pairs
+    ends = [sets.join(side, F.col("node") == F.col(c)).select("a", "b", F.col("set").alias(f"s{c}")) for c in ("a", "b")]
+    both = ends[0].join(ends[1], ["a", "b"])
+    both = both.where((F.size("sa") >= similarity * F.size("sb") - 1e-6) & (F.size("sb") >= similarity * F.size("sa") - 1e-6))
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where((shared >= similarity * (F.size("sa") + F.size("sb") - shared)) & (F.size("sa") > 0)).select("a", "b")
+    return both.where((shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-6) & (F.size("sa") > 0)).select("a", "b").distinct()
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after the linked nodes' components are one."""
+    ends = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    tops = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return common.cut(roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_key, stays): one row per distinct document row, with whether it is the one that stays of its group."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = own.withColumn("copy", F.sha2("text", 256))
     # a node is a distinct text; its key tells rows of a repeated id apart
-    rows = common.cut(keyed.groupBy("doc_id", "copy").agg(F.lit(1).alias("one")).drop("one"))
-    first = rows.groupBy("copy").agg(F.min("doc_id").alias("first_id"))
-    nodes = common.cut(first.select("copy", "first_id", F.xxhash64("copy").alias("node")))
-    n = nodes.count()
-    chosen = nodes.select(F.col("first_id").alias("doc_id"), "copy", "node")
-    texts = _with_texts(keyed, chosen, n)
+    rows = common.cut(keyed.groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("times")))
+    # numbers are written once, so they stay what they are
+    nodes = common.cut(rows.groupBy("copy").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()))
+    chosen = nodes.select(F.col("first_id").alias("w_id"), F.xxhash64(F.lit(-1), "copy").alias("w_copy"), "copy", "node")
+    texts = _texts(keyed, chosen, nodes.count())
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(texts, shingle))
-    marks = common.arrow_map(texts, _marks(tables, shingle, similarity, shared), "node long, fps array<long>, size int, central double, prefix array<long>")
+    marks = common.arrow_map(texts, _marks(shingle, similarity, shared), "node long, fp long, size int, central float, prefix array<long>")
     # a repeated row has its text more than once
-    marked = common.cut(marks if own.count() == rows.count() else marks.dropDuplicates(["node"]))
+    marked = common.cut(marks if rows.where("times > 1").isEmpty() else marks.dropDuplicates(["node"]))
     buckets = common.cut(_buckets(marked))
-    pairs = common.cut(_proposed(marked).union(_central(buckets, similarity)).distinct())
-    found = common.cut(components(_alike(pairs, keyed, chosen, shingle, similarity)))
-    roots = common.cut(nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    pairs = common.cut(_rest(buckets, roots, similarity))
-    late = _alike(pairs, keyed, chosen, shingle, similarity)
-    late = late.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-    joined = components(late.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    last = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    rooted = nodes.join(last, "node")
+    maybe = common.cut(buckets.select("node").distinct())
+    roots = common.cut(maybe.select("node", F.col("node").alias("root")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return common.cut(_alike(pairs, texts, shingle, similarity))
+
+    done = common.cut(_bounded(common.cut(_proposed(marked.join(maybe, "node", "left_semi"))), buckets, similarity))
+    links = verified(done)
+    n = last = maybe.count()
+    while True:
+        roots = _joined(roots, links)
+        rooted = common.cut(buckets.join(roots, "node"))
+        if not last or last * ROUND < n:
+            break
+        pairs = common.cut(_bounded(common.cut(_star(rooted)), buckets, similarity).join(done, ["a", "b"], "left_anti"))
+        links, done = verified(pairs), common.cut(done.union(pairs))
+        last = links.count()
+    roots = _joined(roots, verified(common.cut(_rest(rooted, similarity).join(done, ["a", "b"], "left_anti"))))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("least"))
     stays = rooted.join(least, "root").select("copy", (F.col("least.node") == F.col("node")).alias("kept"), "first_id")
     return rows.join(stays, "copy").select("doc_id", F.col("copy").alias("text_key"), (F.col("kept") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("stays"))
 
 
-def _with_texts(keyed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node and text of the wanted documents; broadcast while few enough, else by a shuffle."""
-    right = wanted.select(F.col("doc_id").alias("w_id"), F.col("copy").alias("w_copy"), "node")
-    right = F.broadcast(right) if n <= BROADCAST_IDS else right
-    found = keyed.join(right, (F.col("copy") == F.col("w_copy")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    return found.select("node", "text")
+def _texts(keyed: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """node and text of one row of each text: two numbers a text are broadcast while few enough, else texts are written once."""
+    own = keyed.withColumn("short", F.xxhash64(F.lit(-1), "copy"))
+    if n <= BROADCAST_IDS:
+        # texts of one id whose short keys collide would be mixed up: they go by the whole key
+        twice = chosen.groupBy("w_id", "w_copy").count().where("count > 1").isEmpty()
+        if twice:
+            right = F.broadcast(chosen.select("w_id", "w_copy", "node"))
+            return own.join(right, (F.col("short") == F.col("w_copy")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
+    right = chosen.select("w_id", "node", F.col("copy").alias("w_key"))
+    return common.cut(own.join(right, (F.col("copy") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents without all but one of each near-duplicate group; columns stay as they are."""
     decided = common.cut(groups(docs, **options))
-    gone = decided.where(~F.col("stays")).select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"))
+    gone = common.cut(decided.where(~F.col("stays")).select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")))
     key, name = F.sha2(F.coalesce(docs["text"], F.lit("")), 256), "_key"
     while name in docs.columns:
         name += "_"
-    right = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    right = F.broadcast(gone) if gone.count() <= BROADCAST_IDS // 3 else gone  # a number and a digest
     kept = docs.withColumn(name, key).join(right, (F.col(name) == F.col("g_key")) & docs["doc_id"].cast("long").eqNullSafe(F.col("g_id")), "left_anti")
     if decided.count() < docs.count():  # repeated rows: one of each stays
         kept = kept.dropDuplicates(["doc_id", name])

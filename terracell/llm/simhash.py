@@ -65,7 +65,7 @@ def fingerprinted(shingle: int, seeds: tuple[int, ...] = (SEED,), column: str =
     return run
 
 
-def _variants(fps: DataFrame) -> DataFrame:
+def variants(fps: DataFrame) -> DataFrame:
     """64 rows a fingerprint: either half with one of its bits cleared, as (key, fp)."""
     half = F.expr("if(bit < 32, fp & 4294967295L, shiftrightunsigned(fp, 32))")
     key = F.expr("shiftleft(cast(bit as bigint), 32) | (half & ~shiftleft(1L, bit % 32))")
@@ -98,15 +98,15 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
     """
     if most not in (1, 2):
         raise ValueError("most must be 1 or 2")
-    variants = _variants(fps)
+    indexed = variants(fps)
     pair = F.expr(_PAIR.format(most=most))
-    large = common.cut(variants.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key"))
+    large = common.cut(indexed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key"))
     if large.isEmpty():
-        return variants.alias("a").join(variants.alias("b"), (F.col("a.key") == F.col("b.key")) & pair).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    rest = variants.join(large, "key", "left_anti")
+        return indexed.alias("a").join(indexed.alias("b"), (F.col("a.key") == F.col("b.key")) & pair).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    rest = indexed.join(large, "key", "left_anti")
     other = F.expr("if(key < 137438953472, shiftrightunsigned(fp, 32), fp & 4294967295L)")
     parts = F.array(*[F.struct(F.lit(i).alias("part"), F.expr(e).alias("value")) for i, e in enumerate(("other & 2047", "shiftright(other, 11) & 2047", "shiftright(other, 22)"))])
-    cut = variants.join(large, "key", "left_semi").withColumn("other", other).select("fp", "key", F.explode(parts).alias("p")).select("fp", "key", "p.part", "p.value")
+    cut = indexed.join(large, "key", "left_semi").withColumn("other", other).select("fp", "key", F.explode(parts).alias("p")).select("fp", "key", "p.part", "p.value")
     found = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & pair).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "part", "value")]
     more = cut.alias("a").join(cut.alias("b"), same[0] & same[1] & same[2] & pair).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
