@@ -36,7 +36,7 @@ from . import common
 
 SMOOTHING = 32.0  # weight, in words, of the shorter context
 BROADCAST_IDS = 1_000_000  # target ids up to this number are broadcast; beyond it, documents are shuffled to them
-CHUNK = 1_500_000  # words that are counted and scored together
+CHUNK = 2_500_000  # words that are counted and scored together
 BUCKET = 2_000_000  # words of the corpus for each bucket of codes, at least
 
 _ASKED = "bucket int, chunk long, codes binary, target binary, background binary, ids array<long>, sizes binary, flags binary, words binary, hashes binary"
@@ -128,7 +128,7 @@ def _ask(buckets: int, size: int):
             codes, alone, bigrams = _coded(words, hashes)
             side = np.repeat(flags, sizes).astype(bool)
             counts = [np.bincount(np.concatenate([alone[words[s]], bigrams[s]]), minlength=len(codes)).astype(np.uint32) for s in (side, ~side)]
-            own = {"bucket": (part + k) % buckets, "chunk": name, "ids": chunk.ids, "sizes": pack(sizes), "flags": pack(flags), "words": pack(words), "hashes": pack(hashes)}
+            own = {"bucket": (part * 7919 + k * 104_729) % buckets, "chunk": name, "ids": chunk.ids, "sizes": pack(sizes), "flags": pack(flags), "words": pack(words), "hashes": pack(hashes)}
             yield pa.RecordBatch.from_pylist([own], schema=schema)
             home = ((codes >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
             ends = np.searchsorted(home, np.arange(buckets + 1))
