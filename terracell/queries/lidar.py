@@ -11,7 +11,7 @@ from .base import put, with_sql
 
 _L = """l as (select l_orderkey * 8 + l_linenumber as pid, (l_partkey % 197) * 0.5::double as x, (l_orderkey % 211) * 0.5::double as y, l_extendedprice / 1000 as z, (l_orderkey % 255)::int as intensity,
   l_linenumber as ret, (1 + greatest(l_linenumber, l_orderkey % 7 + 1) - 1)::int as n_ret, (1 + l_orderkey % 7)::int as class, (l_quantity - 25)::int as scan_angle, (l_suppkey % 4)::int as source_id, l_orderkey::double as gps, l_returnflag as file from (select * from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_extendedprice, l_partkey, l_suppkey, l_quantity, l_returnflag) = 1)),
-s as (select * from l where pid % 8 <= 2 and pid < 40000)"""
+s as (select * from l)"""
 
 
 def cloud(spark, sf_dir):
@@ -25,11 +25,6 @@ def cloud(spark, sf_dir):
     )
 
 
-def small(spark, sf_dir):
-    """A thinner cloud for neighbourhoods."""
-    return cloud(spark, sf_dir).where("pid % 8 <= 2 and pid < 40000")
-
-
 def lsql(body: str, *more: str) -> str:
     return with_sql(body, _L, *more)
 
@@ -62,23 +57,19 @@ put("lidar_block_maximum", lambda s, d: li.lidar_block_maximum(cloud(s, d), 10.0
 put("lidar_block_minimum", lambda s, d: li.lidar_block_minimum(cloud(s, d), 10.0), lsql("select row, col, round(min(z), 6) + 0.0 as value from c group by 1, 2", _C))
 put("flightline_overlap", lambda s, d: li.flightline_overlap(cloud(s, d), 10.0), lsql("select row, col, count(distinct source_id)::double as value from c group by 1, 2", _C))
 put("lidar_point_stats", lambda s, d: li.lidar_point_stats(cloud(s, d), 10.0), lsql("select row, col, num_points, num_pulses, round(num_points / nullif(num_pulses, 0), 6) as avg_points_per_pulse, z_range, intensity_range, predom_class from (select row, col, count(*) as num_points, count(*) filter (ret = 1) as num_pulses, round(max(z) - min(z), 6) as z_range, (max(intensity) - min(intensity))::double as intensity_range from c group by 1, 2) join (select row, col, class as predom_class from (select row, col, class, row_number() over (partition by row, col order by count(*) desc, class) as k from c group by 1, 2, 3) where k = 1) using (row, col)", _C))
-_G = "g as (select row, col, (col + 0.5)::double as x, (64 - (row + 0.5))::double as y from n where row < 64), u as (select x, y, z, pid from l where ret = 1 and z <= 60), gn as (select g.row, g.col, u.x as ux, u.y as uy, u.z, sqrt((u.x - g.x) ** 2 + (u.y - g.y) ** 2) as dist from g join u on u.x between g.x - 1.2 and g.x + 1.2 and u.y between g.y - 1.2 and g.y + 1.2 where sqrt((u.x - g.x) ** 2 + (u.y - g.y) ** 2) <= 1.2)"
-
-
-def _grid(s, d):
-    return fx.n(s, d).where("row < 64")
+_G = "g as (select row, col, (col + 0.5)::double as x, (106 - (row + 0.5))::double as y from n), u as (select x, y, z, pid from l where ret = 1 and z <= 60), gn as (select g.row, g.col, u.x as ux, u.y as uy, u.z, sqrt((u.x - g.x) ** 2 + (u.y - g.y) ** 2) as dist from g join u on u.x between g.x - 1.2 and g.x + 1.2 and u.y between g.y - 1.2 and g.y + 1.2 where sqrt((u.x - g.x) ** 2 + (u.y - g.y) ** 2) <= 1.2)"
 
 
-put("lidar_point_density", lambda s, d: li.lidar_point_density(cloud(s, d), _grid(s, d), 1.2, north=64.0, returns="first", maxz=60.0), lsql("select g.row, g.col, round(coalesce(n, 0) / (pi() * 1.44), 6) + 0.0 as value from g left join (select row, col, count(*) as n from gn group by 1, 2) x on x.row = g.row and x.col = g.col", _G))
-put("lidar_idw_interpolation", lambda s, d: li.lidar_idw_interpolation(cloud(s, d), _grid(s, d), radius=1.2, north=64.0, returns="first", maxz=60.0), lsql("select g.row, g.col, round(v, 6) + 0.0 as value from g left join (select row, col, coalesce(avg(z) filter (dist = 0), sum(z / dist) filter (dist > 0) / sum(1 / dist) filter (dist > 0)) as v from gn group by 1, 2) x on x.row = g.row and x.col = g.col", _G))
-put("lidar_nearest_neighbour_gridding", lambda s, d: li.lidar_nearest_neighbour_gridding(cloud(s, d), _grid(s, d), radius=1.2, north=64.0, returns="first", maxz=60.0), lsql("select g.row, g.col, round(z, 6) + 0.0 as value from g left join (select *, row_number() over (partition by row, col order by dist, ux, uy, z) as k from gn) x on x.row = g.row and x.col = g.col and k = 1", _G))
-put("lidar_digital_surface_model", lambda s, d: li.dsm(li.selected(cloud(s, d), "first", maxz=60.0), _grid(s, d), 1.2, north=64.0), lsql("select g.row, g.col, round(v, 6) + 0.0 as value from g left join (select row, col, max(z) as v from gn group by 1, 2) x on x.row = g.row and x.col = g.col", _G))
+put("lidar_point_density", lambda s, d: li.lidar_point_density(cloud(s, d), fx.n(s, d), 1.2, north=106.0, returns="first", maxz=60.0), lsql("select g.row, g.col, round(coalesce(n, 0) / (pi() * 1.44), 6) + 0.0 as value from g left join (select row, col, count(*) as n from gn group by 1, 2) x on x.row = g.row and x.col = g.col", _G))
+put("lidar_idw_interpolation", lambda s, d: li.lidar_idw_interpolation(cloud(s, d), fx.n(s, d), radius=1.2, north=106.0, returns="first", maxz=60.0), lsql("select g.row, g.col, round(v, 6) + 0.0 as value from g left join (select row, col, coalesce(avg(z) filter (dist = 0), sum(z / dist) filter (dist > 0) / sum(1 / dist) filter (dist > 0)) as v from gn group by 1, 2) x on x.row = g.row and x.col = g.col", _G))
+put("lidar_nearest_neighbour_gridding", lambda s, d: li.lidar_nearest_neighbour_gridding(cloud(s, d), fx.n(s, d), radius=1.2, north=106.0, returns="first", maxz=60.0), lsql("select g.row, g.col, round(z, 6) + 0.0 as value from g left join (select *, row_number() over (partition by row, col order by dist, ux, uy, z) as k from gn) x on x.row = g.row and x.col = g.col and k = 1", _G))
+put("lidar_digital_surface_model", lambda s, d: li.dsm(li.selected(cloud(s, d), "first", maxz=60.0), fx.n(s, d), 1.2, north=106.0), lsql("select g.row, g.col, round(v, 6) + 0.0 as value from g left join (select row, col, max(z) as v from gn group by 1, 2) x on x.row = g.row and x.col = g.col", _G))
 put("lidar_hex_binning", lambda s, d: li.lidar_hex_binning(cloud(s, d), 7.3))
-put("lidar_remove_outliers", lambda s, d: li.lidar_remove_outliers(small(s, d).withColumn("class", F.lit(1)), 1.0, 25.0).select("pid", "class"), lsql("select s.pid, case when s.z - m >= 25 then 18 when s.z - m <= -25 then 7 else 1 end::int as class from s left join (select pid, avg(oz) as m from near where o <> pid group by 1) x on x.pid = s.pid", _NEAR))
-put("lidar_tophat_transform", lambda s, d: li.lidar_tophat_transform(small(s, d), 1.0).select("pid", "z"), lsql("select n.pid, round(any_value(n.z) - max(x.low), 6) + 0.0 as z from near n join (select pid, min(oz) as low from near group by 1) x on x.pid = n.o group by 1", _NEAR))
-put("height_above_ground", lambda s, d: li.height_above_ground(small(s, d), 1.0).select("pid", "z"), lsql("select s.pid, round(case when s.class = 2 then 0 else s.z - g.oz end, 6) + 0.0 as z from s left join (select n.pid, n.oz, row_number() over (partition by n.pid order by n.dist, n.o) as k from near n join s t on t.pid = n.o and t.class = 2) g on g.pid = s.pid and k = 1", _NEAR))
+put("lidar_remove_outliers", lambda s, d: li.lidar_remove_outliers(cloud(s, d).withColumn("class", F.lit(1)), 1.0, 25.0).select("pid", "class"), lsql("select s.pid, case when s.z - m >= 25 then 18 when s.z - m <= -25 then 7 else 1 end::int as class from s left join (select pid, avg(oz) as m from near where o <> pid group by 1) x on x.pid = s.pid", _NEAR))
+put("lidar_tophat_transform", lambda s, d: li.lidar_tophat_transform(cloud(s, d), 1.0).select("pid", "z"), lsql("select n.pid, round(any_value(n.z) - max(x.low), 6) + 0.0 as z from near n join (select pid, min(oz) as low from near group by 1) x on x.pid = n.o group by 1", _NEAR))
+put("height_above_ground", lambda s, d: li.height_above_ground(cloud(s, d), 1.0).select("pid", "z"), lsql("select s.pid, round(case when s.class = 2 then 0 else s.z - g.oz end, 6) + 0.0 as z from s left join (select n.pid, n.oz, row_number() over (partition by n.pid order by n.dist, n.o) as k from near n join s t on t.pid = n.o and t.class = 2) g on g.pid = s.pid and k = 1", _NEAR))
 put("normalize_lidar", lambda s, d: li.normalize_lidar(cloud(s, d), fx.n(s, d), 2.0, 106.0).select("pid", "z"), lsql("select pid, round(z - n.value, 6) + 0.0 as z from l join n on n.row = floor((106 - y) / 2) and n.col = floor(x / 2) and n.value is not null"))
-put("lidar_ground_point_filter", lambda s, d: li.lidar_ground_point_filter(small(s, d), 1.0, 2).select("pid", "class"), lsql("select s.pid, case when coalesce(off and n >= 2, false) then 1 else 2 end::int as class from s left join (select pid, bool_or(degrees(atan2(z - oz, dist)) > 45 and z - oz > 1) as off, count(*) as n from near where o <> pid group by 1) x on x.pid = s.pid", _NEAR))
+put("lidar_ground_point_filter", lambda s, d: li.lidar_ground_point_filter(cloud(s, d), 1.0, 2).select("pid", "class"), lsql("select s.pid, case when coalesce(off and n >= 2, false) then 1 else 2 end::int as class from s left join (select pid, bool_or(degrees(atan2(z - oz, dist)) > 45 and z - oz > 1) as off, count(*) as n from near where o <> pid group by 1) x on x.pid = s.pid", _NEAR))
 put("normal_vectors", lambda s, d: li.normal_vectors(cloud(s, d), 1.0).select("pid", "red", "green", "blue"))
 put("lidar_hillshade", lambda s, d: li.lidar_hillshade(cloud(s, d), radius=1.0).select("pid", "shade"))
 put("lidar_info", lambda s, d: li.lidar_info(cloud(s, d)), lsql("select file, count(*) as n, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y, round(min(z), 6) as min_z, round(max(z), 6) as max_z, round(count(*) / ((max(x) - min(x)) * (max(y) - min(y))), 6) as density from l group by 1"))

@@ -76,7 +76,7 @@ put("extract_nodes", lambda s, d: ve.extract_nodes(polygons(s, d)), sql("select
 put("centroid_vector", lambda s, d: ve.centroid_vector(polygons(s, d)), sql("select fid, round(avg(x), 6) + 0.0 as x, round(avg(y), 6) + 0.0 as y from v group by 1"))
 put("medoid", lambda s, d: ve.medoid(polygons(s, d)))
 put("smooth_vectors", lambda s, d: ve.smooth_vectors(ve.polygons_to_lines(polygons(s, d)), 3), sql("select fid, part, k, round(case when k in (0, 4) then x else avg(x) over w end, 6) + 0.0 as x, round(case when k in (0, 4) then y else avg(y) over w end, 6) + 0.0 as y from v window w as (partition by fid, part order by k rows between 1 preceding and 1 following)"))
-put("eliminate_coincident_points", lambda s, d: ve.eliminate_coincident_points(points(s, d).where("fid <= 3000"), 0.8).select("fid"), psql("select fid from p where fid <= 3000 and not exists (select 1 from p q where q.fid < p.fid and q.fid <= 3000 and sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) <= 0.8)"))
+put("eliminate_coincident_points", lambda s, d: ve.eliminate_coincident_points(points(s, d), 0.8).select("fid"), psql("select fid from p where not exists (select 1 from p q where q.fid < p.fid and q.x between p.x - 0.8 and p.x + 0.8 and q.y between p.y - 0.8 and p.y + 0.8 and sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) <= 0.8)"))
 _PIP = "pip as (select p.row, p.col, m.fid from (select row, col, col + 0.5 as x, row + 0.5 as y from n) p join b m on p.x between m.x0 and m.x0 + m.w + m.s and p.y between m.y0 and m.y0 + m.h where p.y < m.y0 + m.h and p.x - m.x0 < m.w + m.s * (1 - (p.y - m.y0) / m.h) and not (m.fid % 3 = 0 and p.x - m.x0 >= m.w / 4 and p.x - m.x0 < m.w / 2 and p.y - m.y0 >= m.h / 4 and p.y - m.y0 < m.h / 2))"
 
 
@@ -98,20 +98,16 @@ for _assign, _how in {"first": "arg_min(z, fid)", "last": "arg_max(z, fid)", "mi
     put(f"vector_points_to_raster_{_assign}", (lambda a: lambda s, d: ve.vector_points_to_raster(points(s, d), "z", a, resolution=5.0))(_assign), psql(f"select row, col, round({_how}, 6) + 0.0 as value from q group by 1, 2", _AT))
 put("block_maximum_gridding", lambda s, d: ve.block_maximum_gridding(points(s, d), "z", resolution=5.0), psql("select row, col, max(z) + 0.0 as value from q group by 1, 2", _AT))
 put("block_minimum_gridding", lambda s, d: ve.block_minimum_gridding(points(s, d), "z", resolution=5.0), psql("select row, col, min(z) + 0.0 as value from q group by 1, 2", _AT))
-_GRID = "g as (select row, col, (col + 0.5)::double as x, (64 - (row + 0.5))::double as y from n where row < 64), u as (select x, y, avg(z) as z from p group by 1, 2), near as (select g.row, g.col, u.x as ux, u.y as uy, u.z, sqrt((u.x - g.x) ** 2 + (u.y - g.y) ** 2) as dist from g join u on u.x between g.x - 1.5 and g.x + 1.5 and u.y between g.y - 1.5 and g.y + 1.5 where sqrt((u.x - g.x) ** 2 + (u.y - g.y) ** 2) <= 1.5)"
+_GRID = "g as (select row, col, (col + 0.5)::double as x, (64 - (row + 0.5))::double as y from n), u as (select x, y, avg(z) as z from p group by 1, 2), near as (select g.row, g.col, u.x as ux, u.y as uy, u.z, sqrt((u.x - g.x) ** 2 + (u.y - g.y) ** 2) as dist from g join u on u.x between g.x - 1.5 and g.x + 1.5 and u.y between g.y - 1.5 and g.y + 1.5 where sqrt((u.x - g.x) ** 2 + (u.y - g.y) ** 2) <= 1.5)"
 
 
 def _spots(s, d):
     return points(s, d).groupBy("x", "y").agg(F.avg("z").alias("z"))
 
 
-def _grid(s, d):
-    return fx.n(s, d).where("row < 64")
-
-
-put("idw_interpolation", lambda s, d: ve.idw_interpolation(_spots(s, d), _grid(s, d), "z", 1.5, north=64.0), psql("select g.row, g.col, round(v, 6) + 0.0 as value from g left join (select row, col, coalesce(avg(z) filter (dist = 0), sum(z / dist ** 2) filter (dist > 0) / sum(1 / dist ** 2) filter (dist > 0)) as v from near group by 1, 2) x on x.row = g.row and x.col = g.col", _GRID))
-put("nearest_neighbour_gridding", lambda s, d: ve.nearest_neighbour_gridding(_spots(s, d), _grid(s, d), "z", 1.5, north=64.0), psql("select g.row, g.col, round(z, 6) + 0.0 as value from g left join (select *, row_number() over (partition by row, col order by dist, ux, uy) as k from near) x on x.row = g.row and x.col = g.col and k = 1", _GRID))
-put("heat_map", lambda s, d: ve.heat_map(_spots(s, d), _grid(s, d), 1.5, north=64.0), psql("select g.row, g.col, round(coalesce(v, 0), 6) + 0.0 as value from g left join (select row, col, sum(15.0 / 16 * (1 - (dist / 1.5) ** 2) ** 2) as v from near group by 1, 2) x on x.row = g.row and x.col = g.col", _GRID))
+put("idw_interpolation", lambda s, d: ve.idw_interpolation(_spots(s, d), fx.n(s, d), "z", 1.5, north=64.0), psql("select g.row, g.col, round(v, 6) + 0.0 as value from g left join (select row, col, coalesce(avg(z) filter (dist = 0), sum(z / dist ** 2) filter (dist > 0) / sum(1 / dist ** 2) filter (dist > 0)) as v from near group by 1, 2) x on x.row = g.row and x.col = g.col", _GRID))
+put("nearest_neighbour_gridding", lambda s, d: ve.nearest_neighbour_gridding(_spots(s, d), fx.n(s, d), "z", 1.5, north=64.0), psql("select g.row, g.col, round(z, 6) + 0.0 as value from g left join (select *, row_number() over (partition by row, col order by dist, ux, uy) as k from near) x on x.row = g.row and x.col = g.col and k = 1", _GRID))
+put("heat_map", lambda s, d: ve.heat_map(_spots(s, d), fx.n(s, d), 1.5, north=64.0), psql("select g.row, g.col, round(coalesce(v, 0), 6) + 0.0 as value from g left join (select row, col, sum(15.0 / 16 * (1 - (dist / 1.5) ** 2) ** 2) as v from near group by 1, 2) x on x.row = g.row and x.col = g.col", _GRID))
 put("extract_raster_values_at_points", lambda s, d: ve.extract_raster_values(points(s, d).select("fid", "x", "y"), [fx.n(s, d), fx.m(s, d)], north=64.0), psql("select fid, x, y, round(n.value, 6) + 0.0 as VALUE1, round(m.value, 6) + 0.0 as VALUE2 from p left join n on n.row = floor(64 - y) and n.col = floor(x) left join m on m.row = floor(64 - y) and m.col = floor(x)"))
 put("raster_perimeter", lambda s, d: ve.raster_perimeter(fx.i(s, d), True), with_sql("select a.value, count(*) as perimeter from i a cross join (values (0, 1), (1, 0), (0, -1), (-1, 0)) as t(dr, dc) left join i b on b.row = a.row + dr and b.col = a.col + dc where a.value <> 0 and b.value is distinct from a.value group by 1"))
 put("create_rectangular_vector_grid", lambda s, d: ve.create_rectangular_vector_grid(polygons(s, d), 25.0, 40.0).select("i", "j", ve.area().alias("area")), sql("select i, j, 1000.0::double as area from (select unnest(range(floor(min(y) / 40)::bigint, floor(max(y) / 40)::bigint + 1)) as i, floor(min(x) / 25)::bigint as j0, floor(max(x) / 25)::bigint as j1 from v) cross join lateral (select unnest(range(j0, j1 + 1)) as j)"))
