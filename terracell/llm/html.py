@@ -7,15 +7,23 @@ extracted again from the containers on its host's winning path, or from its own
 where the page has none there.  Winning paths (one row a host) are broadcast only while their
 measured size is under ``BROADCAST_BYTES``; beyond it, pages are joined on (host, salt).
 
+A form is dropped unless the page's text stands in it: unless it holds an article, main or h1 element or
+over half of the text; its controls always go.  A class drops its element by whole words of a
+name such as ``site-footer``, but not where the name denies it, as ``no-sidebar`` does.  Reading a page takes
+time and memory linear in its size, however deep it is and whatever is left open.
+
 Defined results: null and empty pages have the text ''; a null url is the host ''; ties between paths
-go to the one that sorts first; repeated rows give repeated results; empty tables give no rows.
+go to the one that sorts first; repeated rows give repeated results; empty tables give no rows; other
+columns are ignored; a page must fit in a task's memory.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -29,8 +37,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _CLASS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "select", "object", "canvas", "audio", "video", "xmp")}
 _VOID = frozenset("br img hr input meta link area base col embed source track wbr param".split())
-_DROP = frozenset("head nav header footer aside form button fieldset dialog menu label legend".split())
-_BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption hr address details summary center hgroup".split()) | _DROP
+_DROP = frozenset("head nav header footer aside button fieldset dialog menu label legend".split())
+_BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption hr address details summary center hgroup form".split()) | _DROP
 _CONTAINER = frozenset("body main article section div td".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BAD = frozenset(
@@ -39,39 +47,61 @@ _BAD = frozenset(
     " subscription signup share sharing social related recommended footer header masthead pagination pager toolbar widget widgets skip".split()
 )
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
+_DENIED = frozenset("no not non without with has hide hides".split())
 _GOOD = frozenset("article content post story entry main text body".split())
 _WORDS = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _NUMBER = re.compile(r"\d+")
 
 
+def _is_bad(names: dict[str, str]) -> bool:
+    """Whether a class or id, by whole words, is of what stands beside an article."""
+    for name in f"{names.get('class', '')} {names.get('id', '')}".split():
+        words = _WORDS.findall(_CAMEL.sub("-", name).lower())
+        if not _BAD.isdisjoint(words) and _DENIED.isdisjoint(words):
+            return True
+    return False
+
+
 class Page:
-    """Kept blocks [(text, characters in links)] and containers [(path, tag, first block, end block, hinted)]."""
+    """Kept blocks [(text, characters in links)] and containers [(path's number, tag, first block, end block, hinted)].
+
+    ``paths`` numbers paths by their parent's number and their last segment; the empty path is 0.
+    """
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int]] = []
-        self.containers: list[tuple[str, str, int, int, bool]] = []
+        self.containers: list[tuple[int, str, int, int, bool]] = []
+        self.paths: dict[tuple[int, str], int] = {}
         self._text: list[str] = []
         self._linked = 0
+        self._forms: list[list[int]] = []  # [first block, end block, whether it holds an article]
+        self._open: Counter[str] = Counter()
         stack: list[list] = []  # [tag, path, dropped, container's place or None]
         at, links, dropped = 0, 0, False
         n = len(source)
+        last = source.rfind(">") + 1  # no tag ends after it
         while at < n:
-            m = _TOKEN.search(source, at)
+            m = _TOKEN.search(source, at, last) if at < last else None
             if m is None:
-                self._add(source[at:], dropped, links)
+                rest = source[at:]
+                cut = min((i for i in (rest.find("<!--"), rest.find("<![CDATA[")) if i >= 0), default=len(rest))
+                self._add(rest[:cut], dropped, links)
                 break
             if m.start() > at:
                 self._add(source[at : m.start()], dropped, links)
             at = m.end()
             tag = m.group(2)
             if tag is None:
+                if source.startswith("<!--", m.start()) and not m.group().endswith("-->") or source.startswith("<![CDATA[", m.start()) and not m.group().endswith("]]>"):
+                    at = n  # left open: to the end
                 if source.startswith("<![CDATA[", m.start()):
                     self._text.append("" if dropped else source[m.start() + 9 : at].removesuffix("]]>").replace("&", "&amp;"))
                 continue
             tag = tag.lower()
             if m.group(1):
-                at_tag = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if at_tag is not None:
+                if self._open[tag]:
+                    at_tag = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
                     dropped, links = self._close(stack, at_tag, links)
                 elif tag in _BLOCK:
                     self._flush()
@@ -90,29 +120,55 @@ class Page:
             if tag in _BLOCK:
                 self._flush()
                 shut = {"p"} | _CLOSED_BY.get(tag, set())
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if any(self._open[t] for t in shut) else ():
                     if stack[i][0] in shut:
                         dropped, links = self._close(stack, i, links)
                         break
                     if stack[i][0] in _CONTAINER or stack[i][0] in ("ul", "ol", "table", "dl"):
                         break
             names = {k.lower(): a or b or c for k, a, b, c in _CLASS.findall(m.group(3))}
-            words = _WORDS.findall(f"{names.get('class', '')} {names.get('id', '')}".lower()) if names else []
-            bad = tag in _DROP or (tag not in ("body", "html", "main", "article") and not _BAD.isdisjoint(words)) or names.get("role", "").lower() in _BAD_ROLES
+            bad = tag in _DROP or (tag not in ("body", "html", "main", "article") and _is_bad(names)) or (names.get("role", "").lower() in _BAD_ROLES and tag != "form")
+            path = stack[-1][1] if stack else 0
             if tag in _CONTAINER:
                 classes = ".".join(sorted({_NUMBER.sub("#", c) for c in names.get("class", "").lower().split()}))
-                path = (stack[-1][1] if stack else "") + "/" + tag + ("." + classes if classes else "")
-            else:
-                path = stack[-1][1] if stack else ""
+                path = self.paths.setdefault((path, tag + ("." + classes if classes else "")), len(self.paths) + 1)
             dropped = dropped or bad
             place = None
             if tag in _CONTAINER and not dropped:
                 place = len(self.containers)
-                self.containers.append((path, tag, len(self.blocks), -1, not _GOOD.isdisjoint(words)))
+                hinted = not _GOOD.isdisjoint(_WORDS.findall(f"{names.get('class', '')} {names.get('id', '')}".lower()))
+                self.containers.append((path, tag, len(self.blocks), -1, hinted))
+            if tag == "form" and not dropped and not self._open["form"]:  # forms don't nest
+                self._forms.append([len(self.blocks), -1, False])
+            elif tag in ("article", "main", "h1") and not dropped and self._open["form"] and self._forms:
+                self._forms[-1][2] = True
             stack.append([tag, path, dropped, place])
+            self._open[tag] += 1
             links += tag == "a"
         self._close(stack, 0, links)
         self._flush()
+        self._drop_forms()
+
+    def _drop_forms(self) -> None:
+        """Leaves out the blocks of forms that don't hold the page's text."""
+        total = sum(len(t) for t, _ in self.blocks)
+        gone = [(a, b) for a, b, holds in self._forms if b > a and not holds and 2 * sum(len(t) for t, _ in self.blocks[a:b]) <= total]
+        if gone:
+            keep = [True] * len(self.blocks)
+            for a, b in gone:
+                keep[a:b] = [False] * (b - a)
+            place = [0, *accumulate(keep)]
+            self.blocks = [x for x, k in zip(self.blocks, keep, strict=True) if k]
+            self.containers = [(p, t, place[a], place[b], h) for p, t, a, b, h in self.containers]
+
+    def path(self, number: int) -> str:
+        """A path as text, its segments apart by spaces."""
+        parents = {own: key for key, own in self.paths.items()}
+        segments = []
+        while number:
+            number, segment = parents[number]
+            segments.append(segment)
+        return " ".join(reversed(segments))
 
     def _add(self, text: str, dropped: bool, links: int) -> None:
         if not dropped:
@@ -135,32 +191,49 @@ class Page:
                 path, name, first, _, hinted = self.containers[place]
                 self.containers[place] = (path, name, first, len(self.blocks), hinted)
             links -= tag == "a"
+            self._open[tag] -= 1
+            if tag == "form" and not self._open["form"] and self._forms and self._forms[-1][1] < 0:
+                self._forms[-1][1] = len(self.blocks)
         del stack[down_to:]
         return (bool(stack) and stack[-1][2]), links
 
-    def best(self) -> tuple[str, str, int, int, bool] | None:
+    def best(self) -> tuple[int, str, int, int, bool] | None:
         """The container of the main text: the outermost article or main with a fair share of the
-        text, or else the deepest container that holds most of it, hints in names preferred."""
-        own = [len(t) - linked for t, linked in self.blocks]
-        before = [0]
-        for x in own:
-            before.append(before[-1] + x)
+        text, or else the deepest container that holds most of it, hints in names preferred, widened
+        while what that adds is text rather than links."""
+        before, all_before = [0], [0]
+        for t, linked in self.blocks:
+            before.append(before[-1] + len(t) - linked)
+            all_before.append(all_before[-1] + len(t))
         scored = [(before[c[3]] - before[c[2]], c) for c in self.containers if c[3] > c[2]]
         most = max((s for s, _ in scored), default=0)
         if most <= 0:
             return None
-        for s, c in scored:
-            if c[1] == "article" and s >= 0.25 * most:
-                return c
-        for s, c in scored:
-            if c[1] == "main" and s >= 0.25 * most:
-                return c
+        for kind in ("article", "main"):
+            for s, c in scored:
+                if c[1] == kind and s >= 0.25 * most:
+                    return c
         hinted = [c for s, c in scored if c[4] and s >= 0.6 * most]
-        return hinted[0] if hinted else [c for s, c in scored if s >= 0.7 * most][-1]
+        if hinted:
+            return hinted[0]
+        around = [c for s, c in scored if s >= 0.7 * most]
+        found = around[-1]
+        for c in reversed(around[:-1]):
+            if c[2] <= found[2] and found[3] <= c[3]:
+                own, whole = (x[found[2]] - x[c[2]] + x[c[3]] - x[found[3]] for x in (before, all_before))
+                if own < 0.9 * whole:
+                    break
+                found = c
+        return found
 
     def text(self, path: str | None = None) -> str:
         """The blocks of the containers on ``path``, or of the page's best one, or of the page."""
-        found = [c for c in self.containers if c[0] == path and c[3] > c[2]] if path else []
+        number: int | None = 0
+        for segment in path.split(" ") if path else ():
+            number = self.paths.get((number, segment))
+            if number is None:
+                break
+        found = [c for c in self.containers if c[0] == number and c[3] > c[2]] if path and number else []
         if not found and (b := self.best()):
             found = [b]
         if not found:
@@ -174,8 +247,9 @@ class Page:
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        best = [Page(h).best() for h in common.texts(batch, "html")]
-        yield pa.record_batch([batch.column("host"), pa.array([b[0] if b else None for b in best], pa.string())], names=["host", "path"])
+        pages = [Page(h) for h in common.texts(batch, "html")]
+        best = [p.path(b[0]) if (b := p.best()) else None for p in pages]
+        yield pa.record_batch([batch.column("host"), pa.array(best, pa.string())], names=["host", "path"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,3 +42,53 @@ def test_tolerates_broken_markup(spark):
     got = {r["page_id"]: r["text"] for r in html.extract(frame(spark, rows)).collect()}
     assert got[1].startswith("one\ntwo") and got[4] == "" and got[5] == ""
     assert html.extract(frame(spark, []).where("false")).count() == 0
+
+
+def text(source):
+    page = html.Page(source)
+    best = page.best()
+    return page.text(page.path(best[0]) if best else None)
+
+
+def test_forms_and_class_names():
+    article = "<article><h1>T</h1><p>Some text here</p></article>"
+    assert text(f"<body><form id='aspnet'><div>{article}</div><input><button>go</button><select><option>x</select></form></body>") == "T\nSome text here"
+    assert text("<body><form><div class=x><p>Only this form holds the text</p></div></form><p>less</p></body>").startswith("Only this form")
+    assert text(f"<body>{article}<form><p>Sign up</p></form></body>") == "T\nSome text here"
+    assert text("<p>one<form><p>Your name</p></form><p>This is longer text") == "one\nThis is longer text"
+    assert text('<body><div class="post no-sidebar"><p>Some text here</p></div><div class="siteFooter">foot</div><div id="page-header">head</div></body>') == "Some text here"
+    assert text('<body><div class="lead"><p>The lead of the story</p></div><div class="rest"><p>' + "And all the rest of it. " * 20 + "</p></div></body>").startswith("The lead of the story\nAnd all")
+
+
+@pytest.mark.parametrize("source", ["<div>x" * 100_000, "<a " * 100_000, "</b>" * 100_000 + "</i>x" * 100_000, "<h1><h2>" * 50_000, '<a "' * 50_000 + ">", "x<!--" * 50_000, "<b>" * 50_000 + "<p>" * 50_000])
+def test_deep_and_unclosed_pages_take_linear_time(source):
+    import time
+    import tracemalloc
+
+    began = time.thread_time()
+    text(source)
+    assert time.thread_time() - began < 30  # quadratic time takes minutes
+    tracemalloc.start()
+    html.Page(source[: len(source) // 10])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 * len(source) / 10 + 1_000_000
+
+
+def test_equals_a_plain_reading(spark):
+    """Generated pages, whose articles are known, come back word for word."""
+    import random
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for i in range(60):
+        blocks = [" ".join(rng.choices(["alpha", "beta", "gamma &amp; delta", "&eacute;t&eacute;", "x &lt; y"], k=rng.randint(8, 30))) for _ in range(rng.randint(1, 6))]
+        rest = ["<nav><a href=/>Home</a></nav>", "<aside>Related</aside>", "<div class='cookie-notice'>We use cookies</div>", "<form><p>Join</p></form>", "<script>if (a<b) {}</script>", "<div class='comments'><p>" + "me too " * 40 + "</p></div>"]
+        rng.shuffle(rest)
+        cut = rng.randint(0, len(rest))
+        body = "".join(f"<{t}>{b.replace(' ', chr(10), 1)}</{t}>" for b in blocks for t in [rng.choice(["p", "h2", "blockquote", "li"])])
+        wrap = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class='post-7 hentry'><div class='inner'>{}</div></div>"])
+        rows.append((i, f"http://h{i % 3}.example/{i}", "<body>" + "".join(rest[:cut]) + wrap.format(body) + "".join(rest[cut:]) + "</body>"))
+        want[i] = "\n".join(b.replace("&amp;", "&").replace("&eacute;", "é").replace("&lt;", "<") for b in blocks)
+    got = {r["page_id"]: r["text"] for r in html.extract(frame(spark, rows)).collect()}
+    assert got == want
