@@ -92,11 +92,12 @@ def _patches(s, d):
 
 put("clump", lambda s, d: hy.clump(_patches(s, d)), _clump_sql(False))
 put("clump_diagonal", lambda s, d: hy.clump(_patches(s, d), diag=True), _clump_sql(True))
-_POINTS = "pts as (select row as id, row, col from e where col = 9 and row % 5 = 2)"
+_POINTS = "pts as (select row * 64 + col as id, row, col from e where value > 1.5)"
 
 
 def _points(s, d):
-    return fx.e(s, d).where("col = 9 and row % 5 = 2").select(F.col("row").alias("id"), "row", "col")
+    """The peaks of the raster."""
+    return fx.e(s, d).where("value > 1.5").select((F.col("row") * 64 + F.col("col")).alias("id"), "row", "col")
 
 
 put("snap_pour_points", lambda s, d: hy.snap_pour_points(_points(s, d), fx.n(s, d), 3), with_sql("select id, row, col from (select p.id, n.row, n.col, row_number() over (partition by p.id order by n.value desc, n.row, n.col) as rn from pts p join n on n.row between p.row - 3 and p.row + 3 and n.col between p.col - 3 and p.col + 3 and n.value is not null) where rn = 1", _POINTS))
