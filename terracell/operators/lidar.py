@@ -412,32 +412,13 @@ def lidar_kappa_index(first: DataFrame, second: DataFrame, radius: float = 0.001
     return near.groupBy("class1", "class2").agg(F.count("*").alias("n"))
 
 
-@tool("AsciiToLas", LIDAR)
-def ascii_to_las(spark, path: str, pattern: str) -> DataFrame:
-    """Points of an ASCII file whose columns a pattern names: x, y, z, i, c, rn, nr, time, sa, r, g, b."""
+def ascii_points(spark, path: str, pattern: str) -> DataFrame:
+    """Points of ASCII files whose columns a pattern names."""
     names = {"x": ("x", "double"), "y": ("y", "double"), "z": ("z", "double"), "i": ("intensity", "int"), "c": ("class", "int"), "rn": ("ret", "int"), "nr": ("n_ret", "int"), "time": ("gps", "double"), "sa": ("scan_angle", "int"), "r": ("red", "int"), "g": ("green", "int"), "b": ("blue", "int")}
     schema = ", ".join(f"{n} {t}" for n, t in (names[p.strip()] for p in pattern.split(",")))
     return spark.read.csv(path, schema=schema).where("x is not null and y is not null")
 
 
-@tool("LasToAscii", LIDAR)
-def las_to_ascii(points: DataFrame, path: str) -> None:
-    """Points as text, a row a point."""
-    points.write.csv(path, sep=" ", header=True, mode="overwrite")
-
-
-@tool("LasToZlidar", LIDAR)
-def las_to_zlidar(points: DataFrame, path: str, compress: str = "zstd") -> None:
-    """Points in a compressed columnar file."""
-    points.write.parquet(path, compression=compress, mode="overwrite")
-
-
-@tool("ZlidarToLas", LIDAR)
-def zlidar_to_las(spark, path: str) -> DataFrame:
-    """Points of a compressed columnar file."""
-    return spark.read.parquet(path)
-
-
 @tool("LasToShapefile", LIDAR)
 def las_to_shapefile(points: DataFrame) -> DataFrame:
     """Points as point features with their attributes."""

@@ -4,17 +4,30 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with the lineage cut in the session's checkpoint folder, set here only if it has none."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terracell-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, one of our own if all runs on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = _OWN[0] = _OWN[0] or tempfile.mkdtemp(prefix="terracell-")
+    return named.rstrip("/")
+
+
+_OWN: list[str | None] = [None]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable over edges (a, b), by alternating stars."""
 
