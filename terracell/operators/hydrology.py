@@ -207,9 +207,29 @@ def max_upslope_value(dem: DataFrame, values: DataFrame) -> DataFrame:
 
 
 @tool("D8MassFlux", HYDRO)
-def d8_mass_flux(dem: DataFrame, loading: DataFrame) -> DataFrame:
-    """Load carried to each cell without loss: its own and all from above."""
-    return _cells(doubled(_with(d8_pointer(dem), loading, "m").withColumn("m", F.coalesce("m", F.lit(0.0))), up={"m": "sum"}), F.col("m"))
+def d8_mass_flux(dem: DataFrame, loading: DataFrame, efficiency: DataFrame | None = None, absorption: DataFrame | None = None) -> DataFrame:
+    """Load that reaches each cell: its own, and from each cell above what that one has, less its absorption, times its efficiency.
+
+    An efficiency raster that exceeds 1 is in percent.  More may be absorbed than there is, so flux can be negative.
+    """
+    n = _with(d8_pointer(dem), loading, "m").withColumn("m", F.coalesce("m", F.lit(0.0)))
+    if efficiency is None and absorption is None:
+        return _cells(doubled(n, up={"m": "sum"}), F.col("m"))
+    for name, layer, rest in (("eff", efficiency, 1.0), ("sunk", absorption, 0.0)):
+        own = n.withColumn(name, F.lit(None).cast("double")) if layer is None else n.join(layer.select(*KEY, F.col("value").alias(name)), KEY, "left")
+        n = own.withColumn(name, F.coalesce(name, F.lit(rest)))
+    if efficiency is not None and (efficiency.agg(F.max("value")).first()[0] or 0) > 1:
+        n = n.withColumn("eff", F.col("eff") / 100)
+    # what a cell adds: its load less what is absorbed right above it; every step down takes its efficiency
+    n = cut(n)
+    lost = n.where("next is not null").groupBy(F.col("next").alias("id")).agg(F.sum(F.col("eff") * F.col("sunk")).alias("lost"))
+    now = cut(n.join(lost, "id", "left").select(*KEY, "id", F.col("next").alias("jump"), F.col("eff").alias("w"), (F.col("m") - F.coalesce("lost", F.lit(0.0))).alias("m")))
+    while not now.where("jump is not null").limit(1).isEmpty():
+        sent = now.where("jump is not null").groupBy(F.col("jump").alias("id")).agg(F.sum(F.col("m") * F.col("w")).alias("got"))
+        far = now.select(F.col("id").alias("jump"), F.col("jump").alias("j2"), F.col("w").alias("w2"))
+        now = now.join(sent, "id", "left").withColumn("m", F.col("m") + F.coalesce("got", F.lit(0.0))).drop("got")
+        now = cut(now.join(far, "jump", "left").select(*KEY, "id", F.col("j2").alias("jump"), (F.col("w") * F.coalesce("w2", F.lit(0.0))).alias("w"), "m"))
+    return _cells(now, F.col("m"))
 
 
 @tool("TraceDownslopeFlowpaths", HYDRO)
@@ -349,6 +369,54 @@ def strahler_stream_order(pointer: DataFrame, streams: DataFrame) -> DataFrame:
     return _cells(n.join(order, "id"), F.col("order"))
 
 
+@tool("TopologicalStreamOrder", STREAM)
+def topological_stream_order(pointer: DataFrame, streams: DataFrame) -> DataFrame:
+    """1 at the outlet, and one more above each confluence."""
+    n = network(pointer, streams).withColumn("meet", (F.col("inflows") > 1).cast("double")).withColumn("all", F.col("meet"))
+    return _cells(doubled(n, down={"all": "sum"}), 1 + F.col("all") - F.col("meet"))
+
+
+def tributaries(pointer: DataFrame, streams: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """row, col, id, below (the next cell) and tributary: the id of the lowest cell of each cell's tributary.
+
+    At a confluence the branch with the farthest channel head goes on, of equal ones that of the least cell.
+    """
+    n = doubled(network(pointer, streams, resolution).withColumn("d", F.lit(0.0)), up={"d": "longest"}).select(*KEY, "id", "next", "step", "d")
+    main = n.where("next is not null").groupBy("next").agg(F.max_by("id", F.struct(F.round(F.col("d") + F.col("step"), 6), -F.col("id"))).alias("id")).select("id", F.lit(True).alias("main"))
+    own = n.join(main, "id", "left").select(*KEY, "id", F.col("next").alias("below"), "step", F.when(F.col("main"), F.col("next")).alias("next"))
+    return cut(doubled(own).select(*KEY, "id", "below", F.col("root").alias("tributary")))
+
+
+@tool("TributaryIdentifier", STREAM)
+def tributary_identifier(pointer: DataFrame, streams: DataFrame) -> DataFrame:
+    """One number for the cells of each tributary: row * 1,000,000 + col of its lowest cell."""
+    return _cells(tributaries(pointer, streams), F.shiftright("tributary", 32) * 1_000_000 + F.col("tributary").bitwiseAND(F.lit((1 << 32) - 1)))
+
+
+@tool("HackStreamOrder", STREAM)
+def hack_stream_order(pointer: DataFrame, streams: DataFrame) -> DataFrame:
+    """1 on the main stem, and one more on each tributary than on the stream that it flows into."""
+    t = tributaries(pointer, streams)
+    into = t.select(F.col("id").alias("below"), F.col("tributary").alias("next"))
+    mouths = t.where("id = tributary").join(into, "below", "left").select("id", "next", F.lit(1.0).alias("step"), F.lit(1.0).alias("order"))
+    orders = doubled(mouths, down={"order": "sum"}).select(F.col("id").alias("tributary"), "order")
+    return _cells(t.join(orders, "tributary"), F.col("order"))
+
+
+@tool("FindMainStem", STREAM)
+def find_main_stem(pointer: DataFrame, streams: DataFrame) -> DataFrame:
+    """1 along the longest stream of each network; NoData on all others."""
+    return _cells(hack_stream_order(pointer, streams), F.when(F.col("value") == 1, 1.0))
+
+
+@tool("HortonStreamOrder", STREAM)
+def horton_stream_order(pointer: DataFrame, streams: DataFrame) -> DataFrame:
+    """Strahler's order of the lowest cell of each tributary, from its head on."""
+    t = tributaries(pointer, streams)
+    order = t.select(*KEY, "id").join(strahler_stream_order(pointer, streams), KEY).select(F.col("id").alias("tributary"), F.col("value").alias("order"))
+    return _cells(t.join(order, "tributary"), F.col("order"))
+
+
 @tool("StrahlerOrderBasins", HYDRO)
 def strahler_order_basins(pointer: DataFrame, streams: DataFrame) -> DataFrame:
     """The order of the stream cell that each cell drains to."""
@@ -552,3 +620,11 @@ def cost_distance(source: DataFrame, cost: DataFrame, resolution: float = 1.0, t
         now = new
         if same:
             return now
+
+
+@tool("CostAllocation", GIS)
+def cost_allocation(source: DataFrame, backlink: DataFrame) -> DataFrame:
+    """The value of the source cell that each cell's backlinks lead to; NoData where they lead to none."""
+    f = _to_stream(backlink, source)
+    ends = source.where("value > 0").select(node().alias("root"), F.col("value").alias("own"))
+    return _cells(doubled(f).select(*KEY, "root").join(ends, "root", "left"), F.col("own"))

@@ -71,6 +71,16 @@ put("stream_link_slope", lambda s, d: hy.stream_link_slope(_pointer(s, d), _stre
 put("stream_link_class", lambda s, d: hy.stream_link_class(_pointer(s, d), _streams(s, d)), _sql("select i.row, i.col, (case when b.row is null then 5 when i.c = 0 then 3 when i.c > 1 then 4 when m.m > 1 then 2 else 1 end)::double as value from inflow i left join sbest b on b.row = i.row and b.col = i.col join (select w.tr, w.tc, count(*) filter (h.c = 0) as m from sway w join inflow h on h.row = w.row and h.col = w.col group by 1, 2) m on m.tr = i.row and m.tc = i.col".replace("left join sbest b on b.row = i.row and b.col = i.col", "left join (select q.row, q.col from sbest q join stream t on t.row = q.r2 and t.col = q.c2) b on b.row = i.row and b.col = i.col"), *_NET))
 put("remove_short_streams", lambda s, d: hy.remove_short_streams(_pointer(s, d), _streams(s, d), 1.2), _sql("select l.row, l.col, (case when outer_ = 1 and len < 1.2 then null else 1 end)::double as value from link l join lens x on x.tr = l.tr and x.tc = l.tc", *_LINKS))
 put("strahler_stream_order", lambda s, d: hy.strahler_stream_order(_pointer(s, d), _streams(s, d)))
+_HOPS = "hops(row, col, tr, tc, k) as (select row, col, row, col, 0 from n where value is not null union all select h.row, h.col, b.r2, b.c2, h.k + 1 from hops h join best b on b.row = h.tr and b.col = h.tc)"
+put("d8_mass_flux_losses", lambda s, d: hy.d8_mass_flux(fx.n(s, d), fx.i(s, d), fx.e(s, d).withColumn("value", F.lit(50.0)), fx.e(s, d).withColumn("value", F.lit(0.25))), _sql("select h.tr as row, h.tc as col, round(sum((coalesce(i.value, 0) - 0.125 * coalesce(c, 0)) * pow(0.5, k)), 6) + 0.0 as value from hops h left join i on i.row = h.row and i.col = h.col left join (select r2, c2, count(*) as c from best group by 1, 2) x on x.r2 = h.row and x.c2 = h.col group by 1, 2", _HOPS))
+put("cost_allocation", lambda s, d: hy.cost_allocation(fx.n(s, d).withColumn("value", F.when(F.col("value") < -1.2, F.col("row") * 64.0 + F.col("col") + 1).otherwise(0.0)), _pointer(s, d)), _sql("select n.row, n.col, v::double as value from n left join (select w.row, w.col, arg_min(w.tr * 64.0 + w.tc + 1, w.len) as v from way w join n p on p.row = w.tr and p.col = w.tc and p.value < -1.2 group by 1, 2) x on x.row = n.row and x.col = n.col where n.value is not null", _WAY))
+put("topological_stream_order", lambda s, d: hy.topological_stream_order(_pointer(s, d), _streams(s, d)), _sql("select w.row, w.col, (1 + count(*) filter (i.c > 1 and (w.tr <> w.row or w.tc <> w.col)))::double as value from sway w join inflow i on i.row = w.tr and i.col = w.tc group by 1, 2", *_NET))
+_KID = "kid as materialized (select b.row, b.col, row_number() over (partition by r2, c2 order by round(f.d + b.len, 6) desc, b.row, b.col) as rn from sbest b join (select tr, tc, max(len) as d from sway group by 1, 2) f on f.tr = b.row and f.tc = b.col)"
+_HACK = "hack as (select w.row, w.col, (1 + count(*) filter (k.rn > 1))::double as value from sway w left join kid k on k.row = w.tr and k.col = w.tc group by 1, 2)"
+put("hack_stream_order", lambda s, d: hy.hack_stream_order(_pointer(s, d), _streams(s, d)), _sql("select row, col, value from hack", *_NET, _KID, _HACK))
+put("find_main_stem", lambda s, d: hy.find_main_stem(_pointer(s, d), _streams(s, d)), _sql("select row, col, case when value = 1 then 1.0::double end as value from hack", *_NET, _KID, _HACK))
+put("tributary_identifier", lambda s, d: hy.tributary_identifier(_pointer(s, d), _streams(s, d)), _sql("select w.row, w.col, arg_min(w.tr * 1000000 + w.tc, w.len)::double as value from sway w left join kid k on k.row = w.tr and k.col = w.tc where k.row is null or k.rn > 1 group by 1, 2", *_NET, _KID))
+put("horton_stream_order", lambda s, d: hy.horton_stream_order(_pointer(s, d), _streams(s, d)))
 put("strahler_order_basins", lambda s, d: hy.strahler_order_basins(_pointer(s, d), _streams(s, d)))
 put("subbasins", lambda s, d: hy.subbasins(_pointer(s, d), _streams(s, d)), _sql("select n.row, n.col, v::double as value from n left join (select w.row, w.col, arg_min(l.tr * 1000000 + l.tc, w.len) as v from way w join link l on l.row = w.tr and l.col = w.tc group by 1, 2) x on x.row = n.row and x.col = n.col where n.value is not null", _WAY, *_LINKS))
 put("long_profile", lambda s, d: hy.long_profile(_pointer(s, d), _streams(s, d), fx.n(s, d)), _sql("select w.row, w.col, round(max(len), 6) + 0.0 as distance, round(any_value(n.value), 6) + 0.0 as z from sway w join n on n.row = w.row and n.col = w.col group by 1, 2", *_NET))

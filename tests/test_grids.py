@@ -143,3 +143,36 @@ def test_register(spark):
     assert len(rows) == len(TOOLS) and all(r["summary"] for r in rows)
     with pytest.raises(KeyError):
         run_tool("no such tool")
+
+
+@pytest.mark.parametrize("seed", [0, 4])
+def test_horton_and_hack_orders(spark, seed):
+    """Against walks over the tree of stream cells; branches of equal length are told apart by their cells."""
+    grid = random_dem(seed)
+    at, to = downhill(grid)
+    cells = {c for c in at if any(v == c for v in to.values())}
+    into = {c: [u for u in cells if to[u] == c] for c in cells}
+    step = lambda u: 2**0.5 if u[0] != to[u][0] and u[1] != to[u][1] else 1.0
+
+    def far(c):
+        return max((far(u) + step(u) for u in into[c]), default=0.0)
+
+    def strahler(c):
+        orders = sorted((strahler(u) for u in into[c]), reverse=True)
+        return (orders[0] + (len(orders) > 1 and orders[0] == orders[1])) if orders else 1
+
+    horton, hack = {}, {}
+
+    def walk(c, mouth, order):
+        horton[c], hack[c] = strahler(mouth), order
+        kids = sorted(into[c], key=lambda u: (-round(far(u) + step(u), 6), u))
+        for k, u in enumerate(kids):
+            walk(u, mouth if k == 0 else u, order if k == 0 else order + 1)
+
+    for c in cells:
+        if to[c] is None:
+            walk(c, c, 1)
+    pointer, streams = hy.d8_pointer(raster(spark, grid)), spark.createDataFrame([(r, c, 1.0) for r, c in cells], SCHEMA)
+    assert values(hy.horton_stream_order(pointer, streams)) == horton
+    assert values(hy.hack_stream_order(pointer, streams)) == hack
+    assert values(hy.find_main_stem(pointer, streams)) == {c: 1.0 if o == 1 else None for c, o in hack.items()}
