@@ -2,17 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a
 DataFrame, which ``run`` writes as Parquet into the cluster's shared folder and reads again.  All but the
-last return the columns of documents.  Empty tables pass through every stage.
+last return the columns of documents.  Empty tables pass through every stage; null and empty texts are
+scored, grouped, searched and packed like others, as each operator states; of repeated rows one stays; other columns
+than those of documents are left out by the first stage.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terracell.llm import common, decontam, neardup, packing, pii, quality
+from terracell.plans.iterate import shared_folder
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -66,8 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of ``sf_dir``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terracell-")
-    folder = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
