@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans import iterate
+
 ROOT = str(Path(__file__).resolve().parents[2])
 SLICE_BYTES = 2 << 20  # what a mapping function gets at once, but for a single larger row
 
@@ -31,13 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with the lineage cut, in the cluster's shared checkpoint folder.
 
-    A folder of our own is set only where the session names none (tests, local mode).
+    A folder of our own is set only where the session names none and all runs on this machine.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terracell-"))
-    return df.checkpoint(eager=True)
+    return iterate.cut(df)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -12,15 +12,17 @@ mapped over twice and never shuffled.
 
 Defined results: null and empty texts have no spans; overlapping candidates of one kind are taken
 leftmost first; repeated rows give repeated results; empty tables give no rows; offsets are code
-points, end exclusive; other columns are ignored.
+points, end exclusive; other columns are ignored; a text with many spans is swept in order, not pair by
+pair, and must fit in a task's memory.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -153,13 +155,30 @@ def votes(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[int
 def candidates(text: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
     base = base_spans(text)
     out = [(k, a, b, True, votes(text, k, a, b, True)) for k in KINDS for a, b in base[k]]
-    taken = sorted((a, b) for k in KINDS for a, b in base[k])
+    taken = _merged((a, b) for k in KINDS for a, b in base[k])
     for k, a, b in loose_spans(text):
-        if not any(x < b and a < y for x, y in taken):
+        if not _meets(taken, a, b):
             out.append((k, a, b, False, votes(text, k, a, b, False)))
     return out
 
 
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans that don't overlap and cover what the given ones do."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _meets(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether a span overlaps one of sorted spans that don't overlap each other."""
+    at = bisect_left(taken, (b, -1))
+    return at > 0 and taken[at - 1][1] > a
+
+
 class SpanModel:
     """Labeler reliabilities by EM on counted vote patterns, and a logistic classifier of patterns."""
 
@@ -238,8 +257,10 @@ def spans_of(text: str, model: SpanModel, known: dict) -> tuple[list[tuple[str,
         if known[key] >= ACCEPT:
             added.append((-known[key], a, b, kind))
     kept: list[tuple[str, int, int]] = []
+    taken: list[tuple[int, int]] = []
     for _, a, b, kind in sorted(added):
-        if not any(x < b and a < y for _, x, y in kept):
+        if not _meets(taken, a, b):
+            insort(taken, (a, b))
             kept.append((kind, a, b))
     order = lambda s: (KINDS.index(s[0]), s[1])
     return sorted(base, key=order), sorted(base + kept, key=order)

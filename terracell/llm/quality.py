@@ -8,7 +8,9 @@ depends on no order); scoring is one map over all documents.
 
 Defined results: null and empty texts have the features of the empty text and get a score; labels
 without a known document, with a null quality or another value than 0 and 1 are left out; repeated
-labels count as often as they stand; without labels of both kinds every score is 0.5.
+labels count as often as they stand, with one of the texts if documents share their id; without labels
+of both kinds every score is 0.5; a null doc_id is not held out and gets a score; other columns are
+ignored; a text must fit in a task's memory.
 """
 
 from __future__ import annotations
@@ -55,13 +57,13 @@ N_FEATURES = len(features(""))
 
 
 def _held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def _features_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [features(t) for t in common.texts(batch)]
-        yield pa.record_batch([batch.column("quality"), pa.array(values, pa.list_(pa.float64()))], names=["quality", "x"])
+        yield pa.record_batch([batch.column("label"), batch.column("quality"), pa.array(values, pa.list_(pa.float64()))], names=["label", "quality", "x"])
 
 
 class Ranking:
@@ -113,9 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
     """Learns from the labelled rows whose crc32(doc_id) mod 5 is not 0."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     rows = rows.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id")))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    rows = common.cut(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).withColumn("label", F.monotonically_increasing_id()))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")  # at most ``sample`` rows of two numbers
-    got = common.arrow_map(joined.select("quality", "text"), _features_map, "quality int, x array<double>").limit(2 * sample).toPandas()
+    found = common.arrow_map(joined.select("label", "quality", "text"), _features_map, "label long, quality int, x array<double>")
+    got = found.groupBy("label", "quality").agg(F.min("x").alias("x")).toPandas()  # a row for each sampled label
     x = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES)
     order = np.lexsort([*x.T[::-1], got["quality"].to_numpy()])  # the order of rows doesn't change the fit
     return Ranking(x[order], got["quality"].to_numpy()[order])

@@ -77,3 +77,19 @@ def test_redact(docs):
 def test_empty(docs):
     assert pii.find(docs([])).count() == 0
     assert pii.redact(docs([])).count() == 0
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    import time
+
+    text = "call 555 123 4567 or a@b.co, host 10.0.0.1; " * 20_000
+    began = time.thread_time()
+    found = pii.candidates(text)
+    assert len(found) == 60_000 and time.thread_time() - began < 60  # all pairs take hours
+    rng = random.Random(1)
+    spans = [(a, a + rng.randint(1, 9)) for a in rng.sample(range(2000), 300)]
+    merged = pii._merged(spans)
+    for _ in range(500):
+        a = rng.randrange(2000)
+        b = a + rng.randint(1, 9)
+        assert pii._meets(merged, a, b) == any(x < b and a < y for x, y in spans)
