@@ -36,7 +36,7 @@ from . import common
 
 SMOOTHING = 32.0  # weight, in words, of the shorter context
 BROADCAST_IDS = 1_000_000  # target ids up to this number are broadcast; beyond it, documents are shuffled to them
-CHUNK = 2_500_000  # words that are counted and scored together
+CHUNK = 2_000_000  # words that are counted and scored together
 BUCKET = 2_000_000  # words of the corpus for each bucket of codes, at least
 
 _ASKED = "bucket int, chunk long, codes binary, target binary, background binary, ids array<long>, sizes binary, flags binary, words binary, hashes binary"
