@@ -127,7 +127,7 @@ put("percent_elev_range", lambda s, d: tr.percent_elev_range(fx.n(s, d), 5), _wi
 put("relative_topographic_position", lambda s, d: tr.relative_topographic_position(fx.e(s, d), 5), _window_sql(f"coalesce(case when any_value(value) < {_MEAN} then (any_value(value) - {_MEAN}) / nullif({_MEAN} - min(other), 0) else (any_value(value) - {_MEAN}) / nullif(max(other) - {_MEAN}, 0) end, 0)", 2, "e"))
 put("max_elevation_deviation", lambda s, d: tr.max_elevation_deviation(fx.n(s, d), 1, 3))
 put("max_difference_from_mean", lambda s, d: tr.max_difference_from_mean(fx.n(s, d), 1, 3))
-put("max_elev_dev_signature", lambda s, d: tr.max_elev_dev_signature(fx.n(s, d), fx.e(s, d).where("row % 100 = 7 and col = 9").select("row", "col", F.col("row").cast("long").alias("id")), [1, 2]))
+put("max_elev_dev_signature", lambda s, d: tr.max_elev_dev_signature(fx.n(s, d), fx.e(s, d).where("value > 2.5").select("row", "col", (F.col("row") * 64 + F.col("col")).cast("long").alias("id")), [1, 2]))
 _NBR = "other) filter (dr <> 0 or dc <> 0"
 put("num_downslope_neighbours", lambda s, d: tr.ring("NumDownslopeNeighbours", fx.n(s, d)), _window_sql("count(*) filter (other < value)"))
 put("num_upslope_neighbours", lambda s, d: tr.ring("NumUpslopeNeighbours", fx.n(s, d)), _window_sql("count(*) filter (other > value)"))
