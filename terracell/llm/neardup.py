@@ -14,8 +14,10 @@ prefixes, must share one.  Texts that share none are done.  Of the rest, groups
    most central one if it is in another component: the one whose shingles are the most frequent, of a
    base and its variants the base.  A text meets the hub that it shares most buckets with.
 3. All other pairs: of every two members of a bucket in different components the shared buckets are
-   counted, and pairs are verified unless sizes, places or that count rule them out.  Nothing is
-   capped, so groups are those of comparing all texts, whatever the first two steps found.
+   counted, and pairs are verified unless sizes, places or that count rule them out.  Members of a
+   bucket of more than ``CROWD`` aren't all compared: they meet by how they differ from what most of the
+   crowd has, which finds the same pairs (``_crowds``).  Nothing is capped, so groups are those of comparing
+   all texts, whatever the first two steps found.
 
 The counts that order shingles are a bounded table; they change what is compared, never what is found.
 
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,7 @@ BROADCAST_IDS = 500_000  # rows of two numbers that are broadcast at most, about
 FREQUENT = 200_000  # shingles whose counts order the others, at any size of the input
 ROUND = 20  # stars go on while a round links one in so many texts
 CHUNK = 4 << 20  # shingles that are counted at once
+CROWD = 64  # members of a bucket beyond which they are told apart by how they differ from the crowd
 
 
 def _repeats(shingle: int):
@@ -170,17 +174,82 @@ def _need(a: str, b: str, similarity: float) -> Column:
     return F.expr(f"{least} * ({a}.size + {b}.size) - greatest({a}.left, {b}.left) - 1e-6")
 
 
-def _rest(rooted: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of a bucket that have different roots and may reach the similarity."""
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    members = common.cut(rooted.join(mixed, "key", "left_semi").drop("central"))
-    a, b = members.alias("a"), members.alias("b")
-    sizes = F.expr(f"a.size >= {similarity} * b.size - 1e-6 and b.size >= {similarity} * a.size - 1e-6")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & sizes)
-    counted = met.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.max(_need("a", "b", similarity)).alias("need"))
+def _like_sizes(a: str, b: str, similarity: float) -> Column:
+    return F.expr(f"{a}.size >= {similarity} * {b}.size - 1e-6 and {b}.size >= {similarity} * {a}.size - 1e-6")
+
+
+def _mixed(rooted: DataFrame) -> DataFrame:
+    """The buckets that hold several roots, with each one's number of members and the root of its most central one, its crowd's name."""
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"), F.max(F.struct("central", "node", "root")).alias("hub"))
+    mixed = mixed.where("low <> high").select("key", "members", F.col("hub.root").alias("g"))
+    return common.cut(rooted.drop("central").join(mixed, "key"))
+
+
+def _rest(members: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of a bucket of at most ``CROWD`` members that have different roots and may reach the similarity."""
+    crowded = members.where(F.col("members") > CROWD).groupBy("node").agg(F.count(F.lit(1)).alias("more"))
+    few = members.where(F.col("members") <= CROWD).join(crowded, "node", "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    few = common.cut(few.drop("members", "g"))
+    a, b = few.alias("a"), few.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & _like_sizes("a", "b", similarity))
+    # of the crowded buckets of two texts as many as either has may be shared
+    need = F.max(_need("a", "b", similarity) - F.expr("least(a.more, b.more)")).alias("need")
+    counted = met.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), need)
     return counted.where("n >= need").select("a", "b")
 
 
+def _crowds(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> Iterator[DataFrame]:
+    """Pairs (a, b) of different roots that meet in a bucket of more than ``CROWD`` members, without comparing all of them.
+
+    Two sets x and y are similar if their difference, x ^ y, has at most r (size x + size y) members, where
+    r = (1 - similarity) / (1 + similarity).  For any set h the difference is that of x ^ h and y ^ h.  Let w be
+    the size of x ^ h less r times that of x, and m the text of least w.  If w(x) + w(y) <= 0, x and y are similar, and so
+    are both to m: stars around m link them all.  Otherwise similar x ^ h and y ^ h share (w(x) + w(y)) / 2 members or
+    more, so their prefixes meet in a bucket.  h is what over half of a crowd's sets hold, so such a bucket has at
+    most half of the crowd; those still crowded are crowds of the next round.
+    """
+    r = (1 - similarity) / (1 + similarity)
+    crowd = common.cut(members.where(F.col("members") > CROWD).select("g", "node", "root", "size").distinct())
+    if crowd.isEmpty():
+        return
+    sets = common.arrow_map(texts.join(common.cut(crowd.select("node").distinct()), "node", "left_semi"), _shingle_sets(shingle), "node long, set array<long>")
+    crowd = common.cut(crowd.join(sets.dropDuplicates(["node"]), "node"))
+    while not crowd.isEmpty():
+        n = crowd.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
+        held = common.cut(crowd.select("g", F.explode("set").alias("key")).groupBy("g", "key").agg(F.count(F.lit(1)).alias("n")).join(n, "g"))
+        core = held.where("2 * n > members").groupBy("g").agg(F.collect_list("key").alias("core"))
+        moved = crowd.join(core, "g", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
+        moved = moved.withColumn("set", F.concat(F.array_except("set", "core"), F.array_except("core", "set"))).drop("core")
+        moved = common.cut(moved.withColumn("w", F.size("set") - r * F.col("size")))
+        mid = moved.groupBy("g").agg(F.min(F.struct("w", "node", "root")).alias("mid"))
+        around = moved.join(mid, "g").withColumn("near", F.col("w") + F.col("mid.w") <= -1e-6)
+        yield around.where("near and root <> mid.root").select(F.col("node").alias("a"), F.col("mid.node").alias("b"))
+        # what is linked so has one root
+        linked = around.where("near").select("g", "root", F.col("mid.root").alias("top")).distinct()
+        now = around.join(linked, ["g", "root"], "left").withColumn("root", F.coalesce("top", "root")).drop("top", "near")
+        least = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("mid.w")) / 2 - 1e-6))
+        now = common.cut(now.select("g", "node", "root", "size", "w", "set", (F.size("set") - least + 1).alias("first")))
+        times = held.select("g", "key", F.when(F.expr("2 * n > members"), F.col("members") - F.col("n")).otherwise(F.col("n")).alias("n"))
+        keyed = now.where("first > 0").select("g", "node", "root", "size", "w", "first", F.explode("set").alias("key")).join(times.where("n > 1"), ["g", "key"], "left")
+        place = F.row_number().over(W.partitionBy("g", "node").orderBy(F.coalesce("n", F.lit(1)), "key"))
+        keyed = keyed.withColumn("place", place).where("place <= first and n is not null")
+        mixed = keyed.groupBy("g", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
+        met = common.cut(keyed.join(mixed.select("g", "key", "members"), ["g", "key"]).select("g", "key", "node", "root", "size", "w", "place", "members"))
+        few = met.where(F.col("members") <= 4 * CROWD)  # places rule out most of these
+        a, b = few.alias("a"), few.alias("b")
+        # what two share from the first place on where they meet must be enough: w + r size is the number of places
+        after = [f"{x}.w + {r} * {x}.size - {x}.place" for x in ("a", "b")]
+        enough = F.expr(f"a.w + b.w > -1e-5 and 1 + least({after[0]}, {after[1]}) >= (a.w + b.w) / 2 - 1e-5")
+        same = (F.col("a.g") == F.col("b.g")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root"))
+        pairs = a.join(b, same & _like_sizes("a", "b", similarity) & enough).select("a.g", F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+        ends = [now.select("g", F.col("node").alias(x), F.col("set").alias(f"s{x}"), F.col("w").alias(f"w{x}")) for x in ("a", "b")]
+        both = pairs.join(ends[0], ["g", "a"]).join(ends[1], ["g", "b"])
+        yield both.where(F.size(F.array_intersect("sa", "sb")) >= F.expr("(wa + wb) / 2 - 1e-5")).select("a", "b").distinct()
+        more = met.where(F.col("members") > 4 * CROWD)
+        numbers = common.cut(more.select("g", "key").distinct().withColumn("next", F.monotonically_increasing_id()))
+        crowd = common.cut(more.join(numbers, ["g", "key"]).select("next", "g", "node").join(now.select("g", "node", "root", "size", "set"), ["g", "node"]).select(F.col("next").alias("g"), "node", "root", "size", "set"))
+
+
 def _bounded(pairs: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shared buckets leave the similarity possible."""
     few = pairs.count() <= BROADCAST_IDS
@@ -246,7 +315,10 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
         pairs = common.cut(_bounded(common.cut(_star(rooted)), buckets, similarity).join(done, ["a", "b"], "left_anti"))
         links, done = verified(pairs), common.cut(done.union(pairs))
         last = links.count()
-    roots = _joined(roots, verified(common.cut(_rest(rooted, similarity).join(done, ["a", "b"], "left_anti"))))
+    members = _mixed(rooted)
+    found = [common.cut(pairs) for pairs in (_rest(members, similarity), *_crowds(members, texts, shingle, similarity))]
+    pairs = common.cut(reduce(DataFrame.union, found).distinct().join(done, ["a", "b"], "left_anti"))
+    roots = _joined(roots, verified(common.cut(_bounded(pairs, buckets, similarity))))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("least"))
     stays = rooted.join(least, "root").select("copy", (F.col("least.node") == F.col("node")).alias("kept"), "first_id")

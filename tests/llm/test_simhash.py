@@ -163,3 +163,57 @@ def test_whole_passages_appended_or_replaced(docs, monkeypatch, frequent):
     alike = sum(jaccard(shingles(rows[2 * i][1]), shingles(rows[2 * i + 1][1])) >= 0.8 for i in range(100))
     assert 60 < alike < 100
     assert {r["doc_id"] for r in neardup.keep_one(docs(rows)).collect()} == kept_by_brute_force(rows)
+
+
+def join_rows(spark, first):
+    """The most rows that a join has made since the execution ``first``."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for i in range(runs.size()):
+        number = runs.apply(i).executionId()
+        if number < first:
+            continue
+        nodes, values = store.planGraph(number).allNodes(), store.executionMetrics(number)
+        for k in range(nodes.size()):
+            metrics = nodes.apply(k).metrics() if "Join" in nodes.apply(k).name() else None
+            for j in range(metrics.size() if metrics else 0):
+                value = values.get(metrics.apply(j).accumulatorId()) if metrics.apply(j).name() == "number of output rows" else None
+                most = max(most, int(value.get().replace(",", "")) if value is not None and value.isDefined() else 0)
+    return most
+
+
+def crowd(rng, n):
+    """Texts that share a passage and little else, near copies of one, and near copies of the others."""
+    passage = [f"p{i}" for i in range(34)]
+    rows = [(i, " ".join([*passage, *(f"own{i}x{k}" for k in range(rng.choice((5, 6, 6, 7))))])) for i in range(n)]
+    rows += [(10_000 + i, f"{rows[i][1]} more{i}") for i in range(0, n, 3)]
+    base = [*passage, *(f"base{k}" for k in range(8))]
+    for i in range(n // 4):
+        now = list(base)
+        for k in rng.sample(range(len(now)), rng.choice((1, 1, 2))):
+            now[k] = f"edit{i}x{k}"
+        rows.append((20_000 + i, " ".join(now)))
+    return rows
+
+
+def test_a_crowd_that_shares_a_passage_is_not_compared_pair_by_pair(spark, docs):
+    rows = crowd(random.Random(11), 400)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    first = runs.apply(runs.size() - 1).executionId() + 1 if runs.size() else 0
+    kept = {r["doc_id"] for r in neardup.keep_one(docs(rows)).collect()}
+    assert kept == kept_by_brute_force(rows)
+    assert 0 < join_rows(spark, first) < 100 * len(rows)
+
+
+@pytest.mark.parametrize("size", [2, 9])
+def test_crowds_of_any_size_find_all_links(docs, monkeypatch, size):
+    monkeypatch.setattr(neardup, "CROWD", size)
+    rng = random.Random(12 + size)
+    rows = crowd(rng, 40)
+    few = [f"few{i}" for i in range(12)]
+    rows += [(30_000 + i, " ".join(rng.choices(few, k=rng.randint(5, 9)))) for i in range(40)]
+    own = [f"w{i}" for i in range(60)]
+    for i in range(25):  # each is similar to the last, ends are not
+        own = [*own[2:], f"chain{i}a", f"chain{i}b"]
+        rows.append((40_000 - i, " ".join(own)))
+    assert {r["doc_id"] for r in neardup.keep_one(docs(rows)).collect()} == kept_by_brute_force(rows)
