@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans import iterate
 from . import common
 
 
@@ -19,6 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = common.cut(_small_star(_large_star(now)))
         last, mark = mark, _checksum(now)
+        iterate.tidy(edges.sparkSession)
         if mark == last:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct())

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from ..plans.iterate import tidy
 from . import common, simhash
 from .components import components
 
@@ -50,6 +51,65 @@ CHUNK = 4 << 20  # shingles that are counted at once
 CROWD = 64  # members of a bucket beyond which they are told apart by how they differ from the crowd
 
 
+def _short(copy: str, doc_id: str) -> Column:
+    """A hash of a row's text key and id."""
+    return F.xxhash64(F.lit(-1), copy, F.col(doc_id).cast("long"))
+
+
+def _split(rows: DataFrame, short: Column, shorts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash may be among those of ``shorts``, and the rows whose isn't.
+
+    Of each hash one bit is broadcast, in words of 64; there are at most ``BROADCAST_IDS`` words, so rows aren't shuffled
+    for being looked at.  More hashes only let more rows through; the caller's join tells them apart.
+    """
+    where = lambda h: F.pmod(F.shiftright(h, 6), F.lit(BROADCAST_IDS))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    words = common.cut(shorts.groupBy(where(F.col("short")).alias("_word")).agg(F.bit_or(bit(F.col("short"))).alias("_bits")))
+    met = rows.join(F.broadcast(words), where(short) == F.col("_word"), "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit(short)) != 0, F.lit(False))
+    return tuple(met.where(h).select(*[F.col(f"`{c}`") for c in rows.columns]) for h in (hit, ~hit))
+
+
+class _Texts:
+    """One text of each node, worked on where its row is read: ids go to the rows, texts aren't shuffled.
+
+    Two numbers a text are broadcast while few enough; beyond, a bit a text is, and results meet their nodes by the whole key.
+    """
+
+    def __init__(self, keyed: DataFrame, chosen: DataFrame):
+        self.keyed, self.chosen = keyed, chosen
+
+    def _few(self, chosen: DataFrame) -> DataFrame | None:
+        """node and text, if ids are few; texts of one id whose short keys collide would be mixed up, so they go by the whole key."""
+        short = chosen.select("w_id", F.xxhash64(F.lit(-1), "copy").alias("w_copy"), "node")
+        if chosen.count() > BROADCAST_IDS or not short.groupBy("w_id", "w_copy").count().where("count > 1").isEmpty():
+            return None
+        met = (F.xxhash64(F.lit(-1), "copy") == F.col("w_copy")) & F.col("doc_id").eqNullSafe(F.col("w_id"))
+        return self.keyed.join(F.broadcast(short), met).select("node", "text")
+
+    def _many(self, chosen: DataFrame) -> DataFrame:
+        rows, _ = _split(self.keyed, _short("copy", "doc_id"), chosen.select(_short("copy", "w_id").alias("short")))
+        return rows.select(self._name("copy", "doc_id"), "text")
+
+    def _name(self, copy: str, doc_id: str) -> Column:
+        return F.concat(copy, F.coalesce(F.col(doc_id).cast("string"), F.lit("-"))).alias("node")
+
+    def counted(self, fn, schema: str) -> DataFrame:
+        """``fn`` of the texts; beyond the bound, of a few copies, too."""
+        few = self._few(self.chosen)
+        return common.arrow_map((self._many(self.chosen) if few is None else few).select("text"), fn, schema)
+
+    def mapped(self, fn, schema: str, wanted: DataFrame | None = None) -> DataFrame:
+        """``fn`` of node and text, which returns node and the columns of ``schema``; of the wanted nodes or all."""
+        chosen = self.chosen if wanted is None else common.cut(self.chosen.join(wanted, "node", "left_semi"))
+        few = self._few(chosen)
+        if few is not None:
+            return common.arrow_map(few, fn, f"node long, {schema}")
+        found = common.arrow_map(self._many(chosen), fn, f"node string, {schema}")
+        own = chosen.select(self._name("copy", "w_id").alias("_name"), F.col("node").alias("_node"))
+        return found.join(own, F.col("node") == F.col("_name")).select(F.col("_node").alias("node"), *[c.split()[0] for c in schema.split(", ")])
+
+
 def _repeats(shingle: int):
     """Shingles that two or more texts of a chunk have, with their number of texts."""
 
@@ -72,9 +132,9 @@ def _repeats(shingle: int):
     return run
 
 
-def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(texts: _Texts, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their counts; any such table gives a valid order."""
-    counts = common.arrow_map(texts.select("text"), _repeats(shingle), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = texts.counted(_repeats(shingle), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     counts = common.cut(counts.withColumn("step", F.floor(4 * F.log2("n")).cast("int")))
     least, total = 1 << 30, 0
     for step, n in sorted((tuple(r) for r in counts.groupBy("step").count().collect()), reverse=True):  # some 200 rows at most
@@ -198,7 +258,7 @@ def _rest(members: DataFrame, similarity: float) -> DataFrame:
     return counted.where("n >= need").select("a", "b")
 
 
-def _crowds(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> Iterator[DataFrame]:
+def _crowds(members: DataFrame, texts: _Texts, shingle: int, similarity: float) -> Iterator[DataFrame]:
     """Pairs (a, b) of different roots that meet in a bucket of more than ``CROWD`` members, without comparing all of them.
 
     Two sets x and y are similar if their difference, x ^ y, has at most r (size x + size y) members, where
@@ -212,9 +272,10 @@ def _crowds(members: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     crowd = common.cut(members.where(F.col("members") > CROWD).select("g", "node", "root", "size").distinct())
     if crowd.isEmpty():
         return
-    sets = common.arrow_map(texts.join(common.cut(crowd.select("node").distinct()), "node", "left_semi"), _shingle_sets(shingle), "node long, set array<long>")
+    sets = texts.mapped(_shingle_sets(shingle), "set array<long>", common.cut(crowd.select("node").distinct()))
     crowd = common.cut(crowd.join(sets.dropDuplicates(["node"]), "node"))
     while not crowd.isEmpty():
+        tidy(crowd.sparkSession)
         n = crowd.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
         held = common.cut(crowd.select("g", F.explode("set").alias("key")).groupBy("g", "key").agg(F.count(F.lit(1)).alias("n")).join(n, "g"))
         core = held.where("2 * n > members").groupBy("g").agg(F.collect_list("key").alias("core"))
@@ -262,13 +323,11 @@ def _bounded(pairs: DataFrame, buckets: DataFrame, similarity: float) -> DataFra
     return counted.where("n >= need").select("a", "b")
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _alike(pairs: DataFrame, texts: _Texts, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs whose shingles are similar enough."""
     asked = common.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    few = asked.count() <= BROADCAST_IDS and pairs.count() <= BROADCAST_IDS
-    wanted = texts.join(F.broadcast(asked) if few else asked, "node", "left_semi")
-    sets = common.cut(common.arrow_map(wanted, _shingle_sets(shingle), "node long, set array<long>"))
-    side = F.broadcast(pairs) if few else pairs
+    sets = common.cut(texts.mapped(_shingle_sets(shingle), "set array<long>", asked))
+    side = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
     ends = [sets.join(side, F.col("node") == F.col(c)).select("a", "b", F.col("set").alias(f"s{c}")) for c in ("a", "b")]
     both = ends[0].join(ends[1], ["a", "b"])
     both = both.where((F.size("sa") >= similarity * F.size("sb") - 1e-6) & (F.size("sb") >= similarity * F.size("sa") - 1e-6))
@@ -291,10 +350,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     rows = common.cut(keyed.groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("times")))
     # numbers are written once, so they stay what they are
     nodes = common.cut(rows.groupBy("copy").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()))
-    chosen = nodes.select(F.col("first_id").alias("w_id"), F.xxhash64(F.lit(-1), "copy").alias("w_copy"), "copy", "node")
-    texts = _texts(keyed, chosen, nodes.count())
+    texts = _Texts(keyed, nodes.select(F.col("first_id").alias("w_id"), "copy", "node"))
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(texts, shingle))
-    marks = common.arrow_map(texts, _marks(shingle, similarity, shared), "node long, fp long, size int, central float, prefix array<long>")
+    marks = texts.mapped(_marks(shingle, similarity, shared), "fp long, size int, central float, prefix array<long>")
     # a repeated row has its text more than once
     marked = common.cut(marks if rows.where("times > 1").isEmpty() else marks.dropDuplicates(["node"]))
     buckets = common.cut(_buckets(marked))
@@ -302,7 +360,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     roots = common.cut(maybe.select("node", F.col("node").alias("root")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return common.cut(_alike(pairs, texts, shingle, similarity))
+        found = common.cut(_alike(pairs, texts, shingle, similarity))
+        tidy(docs.sparkSession)
+        return found
 
     done = common.cut(_bounded(common.cut(_proposed(marked.join(maybe, "node", "left_semi"))), buckets, similarity))
     links = verified(done)
@@ -310,6 +370,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     while True:
         roots = _joined(roots, links)
         rooted = common.cut(buckets.join(roots, "node"))
+        tidy(docs.sparkSession)
         if not last or last * ROUND < n:
             break
         pairs = common.cut(_bounded(common.cut(_star(rooted)), buckets, similarity).join(done, ["a", "b"], "left_anti"))
@@ -325,28 +386,26 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     return rows.join(stays, "copy").select("doc_id", F.col("copy").alias("text_key"), (F.col("kept") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("stays"))
 
 
-def _texts(keyed: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """node and text of one row of each text: two numbers a text are broadcast while few enough, else texts are written once."""
-    own = keyed.withColumn("short", F.xxhash64(F.lit(-1), "copy"))
-    if n <= BROADCAST_IDS:
-        # texts of one id whose short keys collide would be mixed up: they go by the whole key
-        twice = chosen.groupBy("w_id", "w_copy").count().where("count > 1").isEmpty()
-        if twice:
-            right = F.broadcast(chosen.select("w_id", "w_copy", "node"))
-            return own.join(right, (F.col("short") == F.col("w_copy")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
-    right = chosen.select("w_id", "node", F.col("copy").alias("w_key"))
-    return common.cut(own.join(right, (F.col("copy") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text"))
-
-
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents without all but one of each near-duplicate group; columns stay as they are."""
     decided = common.cut(groups(docs, **options))
+    tidy(docs.sparkSession)
     gone = common.cut(decided.where(~F.col("stays")).select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")))
     key, name = F.sha2(F.coalesce(docs["text"], F.lit("")), 256), "_key"
     while name in docs.columns:
         name += "_"
-    right = F.broadcast(gone) if gone.count() <= BROADCAST_IDS // 3 else gone  # a number and a digest
-    kept = docs.withColumn(name, key).join(right, (F.col(name) == F.col("g_key")) & docs["doc_id"].cast("long").eqNullSafe(F.col("g_id")), "left_anti")
+    keyed, id_ = docs.withColumn(name, key), F.col("doc_id").cast("long")
+
+    def left(rows: DataFrame, right: DataFrame) -> DataFrame:
+        return rows.join(right, (F.col(name) == F.col("g_key")) & id_.eqNullSafe(F.col("g_id")), "left_anti")
+
+    if gone.count() <= BROADCAST_IDS // 3:  # a number and a digest
+        kept = left(keyed, F.broadcast(gone))
+    else:
+        maybe, others = _split(keyed, _short(name, "doc_id"), gone.select(_short("g_key", "g_id").alias("short")))
+        kept = left(maybe, gone).union(others)
     if decided.count() < docs.count():  # repeated rows: one of each stays
-        kept = kept.dropDuplicates(["doc_id", name])
+        twice = keyed.groupBy(id_.alias("g_id"), F.col(name).alias("g_key")).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+        maybe, others = _split(kept, _short(name, "doc_id"), twice.select(_short("g_key", "g_id").alias("short")))
+        kept = maybe.dropDuplicates(["doc_id", name]).union(others)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,10 +1,12 @@
 import random
+import time
 
 import numpy as np
 import pytest
 import xxhash
 
 from terracell.llm import neardup, simhash
+from terracell.plans import iterate
 
 
 def fingerprint(text, shingle=3):
@@ -217,3 +219,28 @@ def test_crowds_of_any_size_find_all_links(docs, monkeypatch, size):
         own = [*own[2:], f"chain{i}a", f"chain{i}b"]
         rows.append((40_000 - i, " ".join(own)))
     assert {r["doc_id"] for r in neardup.keep_one(docs(rows)).collect()} == kept_by_brute_force(rows)
+
+
+def test_ids_beyond_the_broadcast_do_not_shuffle_texts(spark, monkeypatch, tmp_path):
+    """Of many texts a bit each goes to the rows, in words that several share; the result stays what it is."""
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 3)
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"{rng.getrandbits(256):x}" for _ in range(300))) for i in range(120)]
+    rows += [(500 + i, f"{rows[i][1]} more") for i in range(10)] + [(600 + i, rows[i][1]) for i in range(50)] + rows[:5] + [(None, rows[7][1]), (None, "none else")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    plans = []
+    monkeypatch.setattr(neardup.common, "arrow_map", lambda df, *a, f=neardup.common.arrow_map: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, *a))
+    kept = [r["doc_id"] for r in neardup.keep_one(spark.read.parquet(f"{tmp_path}/documents")).collect()]
+    assert sorted(kept, key=str) == sorted([*range(120), None], key=str)
+    # texts are worked on where they are read
+    assert len(plans) > 2 and all("FileScan parquet" in p and "hashpartitioning" not in p for p in plans)
+
+
+def test_files_that_nothing_needs_go(spark, docs, monkeypatch):
+    monkeypatch.setattr(iterate, "TIDY_S", 0.0)
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before, seen = files(), []
+    monkeypatch.setattr(neardup, "_alike", lambda *a, f=neardup._alike: seen.append(files()) or f(*a))
+    neardup.keep_one(docs(crowd(random.Random(14), 60))).count()
+    time.sleep(1)
+    assert len(seen) > 2 and files() - before < max(seen) - before  # they only grew before
