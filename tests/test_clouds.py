@@ -50,7 +50,7 @@ def most_join_rows(spark, run):
     return most
 
 
-@pytest.mark.parametrize("tool", ["tophat", "outliers", "medians", "normals", "shade", "kappa"])
+@pytest.mark.parametrize("tool", ["tophat", "outliers", "medians", "height", "normals", "shade", "kappa"])
 def test_points_of_one_place_do_not_meet_pair_by_pair(spark, tool):
     rows = [(i, i % 4 * 0.5, 0.0, float(i % 997), 1 + i % 2, 1, 1) for i in range(2000)]
     cloud = frame(spark, rows)
@@ -58,6 +58,7 @@ def test_points_of_one_place_do_not_meet_pair_by_pair(spark, tool):
         "tophat": lambda: li.lidar_tophat_transform(cloud, 1.0),
         "outliers": lambda: li.lidar_remove_outliers(cloud, 1.0),
         "medians": lambda: li.lidar_remove_outliers(cloud, 1.0, use_median=True),
+        "height": lambda: li.height_above_ground(cloud),
         "normals": lambda: li.normal_vectors(cloud, 1.0),
         "shade": lambda: li.lidar_hillshade(cloud),
         "kappa": lambda: li.lidar_kappa_index(cloud, cloud, 0.1),
@@ -88,6 +89,17 @@ def test_outliers(spark, middle):
     assert kept == {p[0] for p in rows if want[p[0]] == p[4] or (p[4] in (7, 18))}
 
 
+def test_height_above_ground_at_any_distance(spark):
+    rows = [p if p[1] < 20 or p[4] != 2 else (*p[:4], 3, *p[5:]) for p in points(4)]
+    ground = [p for p in rows if p[4] == 2]
+    want = {p[0]: 0.0 if p[4] == 2 else p[3] - min(ground, key=lambda q: (away(p, q), q[0]))[3] for p in rows}
+    assert max(min(away(p, q) for q in ground) for p in rows) > 50
+    got = {r["pid"]: r["z"] for r in li.height_above_ground(frame(spark, rows)).collect()}
+    assert got == pytest.approx(want)
+    none = li.height_above_ground(frame(spark, [p for p in rows if p[4] != 2])).collect()
+    assert none and all(r["z"] is None for r in none)
+
+
 @pytest.mark.parametrize("radius", [0.001, 1.0])
 def test_kappa_meets_the_nearest_in_space(spark, radius):
     rows, others = points(6), points(7, 60)
