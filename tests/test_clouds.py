@@ -50,7 +50,7 @@ def most_join_rows(spark, run):
     return most
 
 
-@pytest.mark.parametrize("tool", ["tophat", "outliers", "medians", "height", "normals", "shade", "kappa"])
+@pytest.mark.parametrize("tool", ["tophat", "outliers", "medians", "height", "ground", "normals", "shade", "kappa"])
 def test_points_of_one_place_do_not_meet_pair_by_pair(spark, tool):
     rows = [(i, i % 4 * 0.5, 0.0, float(i % 997), 1 + i % 2, 1, 1) for i in range(2000)]
     cloud = frame(spark, rows)
@@ -59,6 +59,7 @@ def test_points_of_one_place_do_not_meet_pair_by_pair(spark, tool):
         "outliers": lambda: li.lidar_remove_outliers(cloud, 1.0),
         "medians": lambda: li.lidar_remove_outliers(cloud, 1.0, use_median=True),
         "height": lambda: li.height_above_ground(cloud),
+        "ground": lambda: li.lidar_ground_point_filter(cloud, 1.0, 2),
         "normals": lambda: li.normal_vectors(cloud, 1.0),
         "shade": lambda: li.lidar_hillshade(cloud),
         "kappa": lambda: li.lidar_kappa_index(cloud, cloud, 0.1),
@@ -100,6 +101,26 @@ def test_height_above_ground_at_any_distance(spark):
     assert none and all(r["z"] is None for r in none)
 
 
+@pytest.mark.parametrize("norm", [True, False])
+@pytest.mark.parametrize("least", [0, 9, 1000])
+def test_ground_filter_extends_neighbourhoods_and_flattens_slopes(spark, norm, least):
+    rows = points(5)
+    quiet = [p for p in rows if p[4] not in (7, 18)]
+    last = [p for p in quiet if p[5] == p[6]]
+    base = opened(last, 1.0) if norm else dict.fromkeys([p[0] for p in last], 0.0)
+    want = {}
+    for p in quiet:
+        off = p not in last
+        if not off:
+            reach = max([1.0, *sorted(away(p, q) for q in last)[:least][-1:]])
+            own = p[3] - base[p[0]]
+            rises = [(own - (q[3] - base[q[0]]), away(p, q)) for q in last if 0 < away(p, q) <= reach]
+            off = norm and own >= 2 or any(d > s * math.tan(math.radians(60)) and (norm or d > 2) for d, s in rises)
+        want[p[0]] = 1 if off else 2
+    got = {r["pid"]: r["class"] for r in li.lidar_ground_point_filter(frame(spark, rows), 1.0, least, 60.0, 2.0, slope_norm=norm).collect()}
+    assert got == want and set(want.values()) == {1, 2}
+
+
 @pytest.mark.parametrize("radius", [0.001, 1.0])
 def test_kappa_meets_the_nearest_in_space(spark, radius):
     rows, others = points(6), points(7, 60)
